@@ -97,7 +97,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now = _digest(nxt)
         scratch.drop(e)
         e = nxt
-        if now == seen:
+        if now == seen or not now[0]:
             break
         seen = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from civisphere.llm.common import Scratch, connected_components
 
-WIDTH, STRIDE = 12, 6
+WIDTH, STRIDE = 12, 16
 #: A pair of similarity 0.8 shares one of 8 bands of 3 with probability 0.995.
 ROWS, BANDS = 3, 8
 #: Similarity as a ratio of whole numbers.
@@ -44,10 +44,10 @@ def shingles(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc, no, line, k1, k2`` of every line that is not blank; the two keys are a 128-bit hash."""
+    """``doc, no, line, k1, k2`` of every line that is not blank; the keys are a 64-bit hash and the length."""
     each = docs.select(docs["doc_id"].alias("doc"), F.posexplode(F.split(docs["text"].cast("string"), "\n")).alias("no", "raw"))
     each = each.select("doc", "no", normal(F.col("raw")).alias("line")).where("line <> ''")
-    return each.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(7), "line"))
+    return each.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.octet_length("line"))
 
 
 def _small(df: DataFrame, rows: int = SMALL) -> DataFrame:
@@ -88,32 +88,40 @@ def components(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFra
     ``members`` has ``band, k1``. In every round each band has leaders that
     are compared with all its members of other components, and are then done;
     links within a component would change nothing. A band ends when what is
-    left of it is one component, so no link between candidates is lost and no
-    band emits all its pairs. Leaders double from round to round.
+    left of it is one component, so no link between candidates is lost and a
+    band of one family emits one pair for each member. Leaders double from round to round.
     """
-    sized = scratch.save(members.join(sets.select("k1", F.size("set").alias("size")), "k1"), "members")
-    edges, comp, done_before, leaders_per_band = None, None, None, 1
-    left = sized.withColumn("comp", F.col("k1"))
+    left = scratch.save(members.join(sets.select("k1", F.size("set").alias("size")), "k1").withColumn("comp", F.col("k1")), "members")
+    comp, slots = None, 1
     while True:
-        slot = F.pmod(F.xxhash64("k1", "band"), F.lit(leaders_per_band))
-        heads = left.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("k1", "size", "comp")).alias("x")).select("band", F.col("x.k1").alias("a"), F.col("x.size").alias("size_a"), F.col("x.comp").alias("comp_a"))
-        heads = scratch.save(heads, "heads")
+        # the largest component of a band has no leader: when the others are done, so is the band
+        parts = left.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"))
+        slot = F.pmod(F.xxhash64("k1", "band"), F.lit(slots))
+        heads = left.join(parts, "band").where("comp <> top").groupBy("band", slot.alias("slot")).agg(F.min(F.struct("k1", "size", "comp")).alias("x"))
+        heads = scratch.save(heads.select("band", F.col("x.k1").alias("a"), F.col("x.size").alias("size_a"), F.col("x.comp").alias("comp_a")), "heads")
         near = (DEN * F.least("size", "size_a") >= NUM * F.greatest("size", "size_a")) & (F.col("comp") != F.col("comp_a"))
         pairs = left.join(heads, "band").where(near).select(F.least("a", "k1").alias("a"), F.greatest("a", "k1").alias("b")).distinct()
-        found = scratch.save(_verified(pairs, sets), "links")
-        edges = found if edges is None else edges.union(found)
-        comp = scratch.save(connected_components(edges, scratch), "components")
-        left = left.join(heads.select("band", F.col("a").alias("k1")), ["band", "k1"], "left_anti").drop("comp")
-        left = left.join(comp.withColumnRenamed("node", "k1"), "k1", "left").select("band", "k1", "size", F.coalesce("component", "k1").alias("comp"))
-        left = scratch.save(left, "left")
-        open_ = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        left = scratch.save(left.join(open_, "band"), "left")
-        if done_before is not None:
-            scratch.drop(done_before)
-        done_before = left
+        found = _verified(pairs, sets)
+        if comp is not None:  # what is linked already counts as one node
+            at = comp.select(F.col("node").alias("src"), "component")
+            found = found.join(at, "src", "left").select(F.coalesce("component", "src").alias("src"), F.col("dst").alias("d"))
+            found = found.join(at.withColumnRenamed("src", "d"), "d", "left").select("src", F.coalesce("component", "d").alias("dst"))
+        new = connected_components(scratch.save(found, "links"), scratch).select("node", F.col("component").alias("to"))
+        if comp is None:
+            nxt = new.withColumnRenamed("to", "component")
+        else:
+            moved = comp.join(new, comp["component"] == new["node"], "left").select(comp["node"], F.coalesce("to", "component").alias("component"))
+            nxt = moved.union(new.join(comp, "node", "left_anti"))
+        nxt = scratch.save(nxt, "components")
+        rest = left.join(heads.select("band", F.col("a").alias("k1")), ["band", "k1"], "left_anti").drop("comp")
+        rest = rest.join(nxt.withColumnRenamed("node", "k1"), "k1", "left").select("band", "k1", "size", F.coalesce("component", "k1").alias("comp"))
+        rest = scratch.save(rest, "left")
+        open_ = rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+        rest_open = scratch.save(rest.join(open_, "band"), "left")
+        scratch.drop(left, heads, rest, *([comp] if comp is not None else []))
+        left, comp, slots = rest_open, nxt, 2 * slots
         if left.isEmpty():
             return comp
-        leaders_per_band *= 2
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
