@@ -35,8 +35,8 @@ def _masks(n: int) -> list[int]:
 
 
 def normal(line: Column) -> Column:
-    """What of a line is compared: lower case, without white space around it."""
-    return F.lower(F.trim(F.translate(line, "\t\r ", "   ")))
+    """What of a line is compared: it without white space around it."""
+    return F.trim(line, F.lit(" \t\r"))
 
 
 def shingles(line: Column) -> Column:
