@@ -47,7 +47,7 @@ class Model:
         n = len(langs)
         whole = np.asarray(totals.get("w", [0] * n), float)
         self.known = {w: k for k, w in enumerate(known)}
-        self.rows = np.log((np.asarray(list(known.values()), float).reshape(-1, n) + UNSEEN) / (whole + 1))
+        self.rows = np.log((np.asarray(list(known.values()), float).reshape(len(known), n) + UNSEEN) / (whole + 1))
         by_size = {k: np.asarray(v, float) for k, v in totals.items() if k != "w"}
         self.parts = {g: np.log((np.asarray(v, float) + UNSEEN) / (by_size[str(len(g))] + 1)) for g, v in parts.items()}
         self.fresh: dict[str, int] = {}
