@@ -15,7 +15,7 @@ from civisphere.llm.common import Scratch
 
 #: Exponents that flatten a marginal's token shares to its target shares.
 FLATTEN = {"source": 0.7, "lang": 0.8, "topic": 0.9}
-SWEEPS, SAVE_EVERY = 8, 2
+SWEEPS, SAVE_EVERY = 8, 1
 #: Bytes of a token, about.
 TOKEN_BYTES = 4
 #: First rule that holds names the topic. Fixed values.
