@@ -28,6 +28,9 @@ NUM, DEN = 4, 5
 SHINGLES = f"(?s)(?=(.{{1,{WIDTH}}}))\\S{{1,{STRIDE}}}"
 #: Rows of a table up to which it is broadcast; beyond, both sides are shuffled.
 SMALL = 400_000
+#: Members that one task compares with a leader; members of a group that are compared
+#: with each other at once, and how that number grows from round to round.
+SLOT, FEW, GROW = 512, 64, 4
 
 
 def _masks(n: int) -> list[int]:
@@ -72,54 +75,119 @@ def signatures(docs: DataFrame) -> DataFrame:
     return out.select("k1", "k2", "n", F.array(*bands).alias("bands"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` whose shingle sets have the similarity."""
-    one = sets.select(F.col("k1").alias("a"), F.col("set").alias("sa"))
-    two = sets.select(F.col("k1").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    # shared / (|a| + |b| - shared) >= NUM / DEN
-    return both.where((NUM + DEN) * shared >= NUM * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+def _leaders(left: DataFrame) -> DataFrame:
+    """``a, k1``: members and the leader of their group, each pair once.
 
+    The leader of a group is the member whose groups are largest in total. In
+    a family of edited copies that is the text they were edited from, or one
+    close to it: it shares more bands with the others than they do among
+    themselves.
+    """
+    sized = left.join(left.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
+    weight = sized.groupBy("k1").agg(F.sum("n").alias("w"))
+    heads = left.join(weight, "k1").groupBy("g").agg(F.max(F.struct("w", "k1"))["k1"].alias("a"))
+    return left.join(heads, "g").where("k1 <> a").select("a", "k1").distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, k1, n, shared, linked, added``: members against their leaders.
+
+    ``n`` is the size of the member's set and ``shared`` what it has in common
+    with the leader's. ``added`` holds the smallest elements the leader lacks:
+    as many as another member must share one of, if the two are to be similar
+    with at least one such element in common. Leaders are dealt in slots of
+    ``SLOT`` members, so that a large group takes many tasks.
+    """
+    heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).join(sets.withColumnsRenamed({"k1": "a", "set": "sa"}), "a")
+    heads = heads.select("a", "sa", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / SLOT).cast("int"))).alias("slot"))
+    counted = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a")
+    dealt = counted.select("a", "k1", F.pmod(F.xxhash64("k1"), F.floor((F.col("m") - 1) / SLOT) + 1).cast("int").alias("slot"))
+    both = dealt.join(sets, "k1").join(heads, ["a", "slot"])
+    both = both.withColumn("n", F.size("set")).withColumn("na", F.size("sa")).withColumn("rest", F.array_except("set", "sa"))
+    both = both.withColumn("shared", F.col("n") - F.size("rest"))
+    # a similar set shares at least NUM / DEN of n elements, of which the leader's own are ``shared`` at most
+    least = F.greatest(F.lit(1), F.ceil(NUM * F.col("n") / DEN).cast("int") - F.col("shared"))
+    prefix = F.slice(F.array_sort("rest"), F.lit(1), F.greatest(F.lit(0), F.size("rest") - least + 1))
+    linked = (NUM + DEN) * F.col("shared") >= NUM * (F.col("n") + F.col("na"))
+    return both.select("a", "k1", "n", "shared", linked.alias("linked"), prefix.alias("added"))
+
+
+def _merged(comp: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, component`` after further links; what is linked already counts as one node."""
+    if comp is None:
+        return connected_components(links, scratch)
+    at = comp.select(F.col("node").alias("src"), "component")
+    found = links.join(at, "src", "left").select(F.coalesce("component", "src").alias("src"), F.col("dst").alias("d"))
+    found = found.join(at.withColumnRenamed("src", "d"), "d", "left").select("src", F.coalesce("component", "d").alias("dst"))
+    new = connected_components(scratch.save(found.where("src <> dst"), "links"), scratch).select("node", F.col("component").alias("to"))
+    moved = comp.join(new.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.union(new.join(comp, "node", "left_anti"))
+
+
+def _open(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """Groups (by ``g``) whose members are of more than one component, with ``comp`` of each member."""
+    rows = groups.join(comp.withColumnRenamed("node", "k1"), "k1", "left").withColumn("comp", F.coalesce("component", "k1")).drop("component")
+    several = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
+    return rows.join(several, "g")
 
-def components(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components ``(node, component)`` of the verified links within bands.
 
-    ``members`` has ``band, k1``. In every round each band has leaders that
-    are compared with all its members of other components, and are then done;
-    links within a component would change nothing. A band ends when what is
-    left of it is one component, so no link between candidates is lost and a
-    band of one family emits one pair for each member. Leaders double from round to round.
+def components(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components ``(node, component)`` of the similar pairs within groups ``(g, k1)``.
+
+    In every round the members of a group are compared with its leader, which
+    is then done. Two other members x, y of different components can still be
+    similar in two ways only, by their elements shared with the leader
+    (x', y' of them):
+
+    - both have an element the leader lacks: they meet in a group of such an
+      element, at once where it has few members, else in the next round;
+    - min(x', y') alone reaches what similarity asks of the sizes, and one of
+      them, say x, is not linked to the leader: x is listed under every size
+      that y can have, and meets it there. Few listed under a size are
+      compared at once, many form a group of the next round.
+
+    No similar pair of a group is lost, and a family of edited copies emits
+    about a pair for each member, where most of the edits differ. "Few" grows
+    by ``GROW`` each round, so there are few rounds; members that share much
+    and are still not similar to any leader are what costs more than in
+    proportion.
     """
-    left = scratch.save(members.join(sets.select("k1", F.size("set").alias("size")), "k1").withColumn("comp", F.col("k1")), "members")
-    comp, slots = None, 1
+    left, comp, few_most = members, None, FEW
     while True:
-        # the largest component of a band has no leader: when the others are done, so is the band
-        parts = left.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"))
-        slot = F.pmod(F.xxhash64("k1", "band"), F.lit(slots))
-        heads = left.join(parts, "band").where("comp <> top").groupBy("band", slot.alias("slot")).agg(F.min(F.struct("k1", "size", "comp")).alias("x"))
-        heads = scratch.save(heads.select("band", F.col("x.k1").alias("a"), F.col("x.size").alias("size_a"), F.col("x.comp").alias("comp_a")), "heads")
-        near = (DEN * F.least("size", "size_a") >= NUM * F.greatest("size", "size_a")) & (F.col("comp") != F.col("comp_a"))
-        pairs = left.join(heads, "band").where(near).select(F.least("a", "k1").alias("a"), F.greatest("a", "k1").alias("b")).distinct()
-        found = _verified(pairs, sets)
-        if comp is not None:  # what is linked already counts as one node
-            at = comp.select(F.col("node").alias("src"), "component")
-            found = found.join(at, "src", "left").select(F.coalesce("component", "src").alias("src"), F.col("dst").alias("d"))
-            found = found.join(at.withColumnRenamed("src", "d"), "d", "left").select("src", F.coalesce("component", "d").alias("dst"))
-        new = connected_components(scratch.save(found, "links"), scratch).select("node", F.col("component").alias("to"))
-        if comp is None:
-            nxt = new.withColumnRenamed("to", "component")
-        else:
-            moved = comp.join(new, comp["component"] == new["node"], "left").select(comp["node"], F.coalesce("to", "component").alias("component"))
-            nxt = moved.union(new.join(comp, "node", "left_anti"))
-        nxt = scratch.save(nxt, "components")
-        rest = left.join(heads.select("band", F.col("a").alias("k1")), ["band", "k1"], "left_anti").drop("comp")
-        rest = rest.join(nxt.withColumnRenamed("node", "k1"), "k1", "left").select("band", "k1", "size", F.coalesce("component", "k1").alias("comp"))
-        rest = scratch.save(rest, "left")
-        open_ = rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        rest_open = scratch.save(rest.join(open_, "band"), "left")
-        scratch.drop(left, heads, rest, *([comp] if comp is not None else []))
-        left, comp, slots = rest_open, nxt, 2 * slots
+        pairs = scratch.save(_leaders(left), "pairs")
+        seen = scratch.save(_compared(pairs, sets), "compared")
+        links = scratch.save(seen.where("linked").select(F.col("a").alias("src"), F.col("k1").alias("dst")), "links")
+        comp = scratch.save(_merged(comp, links, scratch), "components")
+        rest = scratch.save(_open(seen.withColumn("g", F.col("a")), comp), "rest")
+        if rest.isEmpty():
+            return comp
+        by_element = rest.select("k1", "n", "comp", "a", "shared", (F.col("n") - F.col("shared")).alias("rest"), F.explode("added").alias("s"))
+        by_element = _open(by_element.withColumn("g", F.xxhash64("a", "s")).drop("comp"), comp)
+        crowded = by_element.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > few_most).select("g")
+        few = scratch.save(by_element.join(crowded, "g", "left_anti"), "few")
+        # (NUM + DEN) * min(x', y') >= NUM * (|x| + |y|), and |y| >= NUM / DEN * |x|
+        cap = F.floor((NUM + DEN) * F.col("shared") / NUM).cast("int") - F.col("n")
+        floor = F.ceil(NUM * F.col("n") / DEN).cast("int")
+        low = rest.where(~F.col("linked")).withColumn("cap", cap).where(F.col("cap") >= floor)
+        low = low.select("a", F.col("k1").alias("x"), F.col("comp").alias("cx"), "n", "shared", F.explode(F.sequence(floor, F.col("cap"))).alias("size"))
+        sizes = rest.where(cap >= floor).select("a", "k1", "comp", F.col("n").alias("size"), F.col("shared").alias("sy"))
+        low = scratch.save(low.join(sizes.select("a", "size").distinct(), ["a", "size"], "left_semi"), "sizes")
+        many = low.groupBy("a", "size").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > few_most).select("a", "size")
+        crowd = low.join(many, ["a", "size"]).select("a", "size", F.col("x").alias("k1")).union(sizes.join(many, ["a", "size"]).select("a", "size", "k1"))
+        by_size = crowd.distinct().select(F.xxhash64("a", "size", F.lit("size")).alias("g"), "k1")
+        fits = (F.col("cx") != F.col("comp")) & ((NUM + DEN) * F.least("shared", "sy") >= NUM * (F.col("n") + F.col("size")))
+        direct = low.join(many, ["a", "size"], "left_anti").join(sizes, ["a", "size"]).where(fits)
+        other = few.select("g", *(F.col(c).alias(c + "2") for c in ("k1", "n", "comp", "shared", "rest")))
+        most = F.least("shared", "shared2") + F.least("rest", "rest2")
+        near = (F.col("k1") < F.col("k12")) & (F.col("comp") != F.col("comp2")) & ((NUM + DEN) * most >= NUM * (F.col("n") + F.col("n2")))
+        within = few.join(other, "g").where(near).select(F.col("k1").alias("a"), F.col("k12").alias("k1"))
+        direct = scratch.save(direct.select(F.least("x", "k1").alias("a"), F.greatest("x", "k1").alias("k1")).union(within).distinct(), "pairs")
+        if not direct.isEmpty():
+            links = _compared(direct, sets).where("linked").select(F.col("a").alias("src"), F.col("k1").alias("dst"))
+            comp = scratch.save(_merged(comp, scratch.save(links, "links"), scratch), "components")
+        left = scratch.save(_open(by_element.join(crowded, "g").select("g", "k1").distinct().union(by_size), comp).select("g", "k1").distinct(), "groups")
+        scratch.drop(pairs, seen, rest, few, low, direct)
+        few_most *= GROW
         if left.isEmpty():
             return comp
 
@@ -137,7 +205,7 @@ def dropped_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     keys = scratch.save(members.select("k1", "k2").distinct(), "keys")
     texts = _lines(docs).join(_small(keys), ["k1", "k2"]).select("k1", "k2", "line").dropDuplicates(["k1", "k2"])
     sets = scratch.save(texts.select("k1", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set")), "sets")
-    comp = components(members.select("band", "k1"), sets, scratch)
+    comp = components(members.select(F.col("band").alias("g"), "k1"), sets, scratch)
     ruled = lines.select("k1", "k2", "n").join(comp, lines["k1"] == comp["node"], "left").where("n > 1 or component is not null")
     ruled = scratch.save(ruled.select("k1", "k2", F.coalesce("component", "k1").alias("g")), "ruled")
     scratch.drop(lines, shared, members, keys, sets)
