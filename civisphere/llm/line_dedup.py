@@ -158,6 +158,7 @@ def components(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFra
         seen = scratch.save(_compared(pairs, sets), "compared")
         links = scratch.save(seen.where("linked").select(F.col("a").alias("src"), F.col("k1").alias("dst")), "links")
         comp = scratch.save(_merged(comp, links, scratch), "components")
+        scratch.release()
         rest = scratch.save(_open(seen.withColumn("g", F.col("a")), comp), "rest")
         if rest.isEmpty():
             return comp
@@ -183,10 +184,11 @@ def components(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFra
         within = few.join(other, "g").where(near).select(F.col("k1").alias("a"), F.col("k12").alias("k1"))
         direct = scratch.save(direct.select(F.least("x", "k1").alias("a"), F.greatest("x", "k1").alias("k1")).union(within).distinct(), "pairs")
         if not direct.isEmpty():
-            links = _compared(direct, sets).where("linked").select(F.col("a").alias("src"), F.col("k1").alias("dst"))
-            comp = scratch.save(_merged(comp, scratch.save(links, "links"), scratch), "components")
+            more = _compared(direct, sets).where("linked").select(F.col("a").alias("src"), F.col("k1").alias("dst"))
+            comp = scratch.save(_merged(comp, scratch.save(more, "links"), scratch), "components")
         left = scratch.save(_open(by_element.join(crowded, "g").select("g", "k1").distinct().union(by_size), comp).select("g", "k1").distinct(), "groups")
-        scratch.drop(pairs, seen, rest, few, low, direct)
+        scratch.drop(pairs, seen, links, rest, few, low, direct)
+        scratch.release()
         few_most *= GROW
         if left.isEmpty():
             return comp
