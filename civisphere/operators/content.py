@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from civisphere.functions import text as T
 from civisphere.functions import url as U
 
-#: Near-duplicate rule: shingles of 3 words, at least 6, Jaccard 3/5, of the first 400 characters.
-RUN, LEAST, NUM, DEN, HEAD = 3, 6, 3, 5, 400
+#: Near-duplicate rule: shingles of 3 words, at least 6, Jaccard 3/5.
+RUN, LEAST, NUM, DEN = 3, 6, 3, 5
 
 
 def near_duplicate_pairs(docs: DataFrame) -> DataFrame:
@@ -21,11 +21,11 @@ def near_duplicate_pairs(docs: DataFrame) -> DataFrame:
     shingle of their prefixes in the order of a hash: a pair of similarity t
     must share one of the first n - ceil(t n) + 1 (prefix filter).
     """
-    words = docs.select(F.col("doc_id").alias("id"), T.tokens(F.substring("text", 1, HEAD)).alias("w"))
-    sets = words.select("id", F.array_sort(T.shingles(F.col("w"), RUN)).alias("s")).where(F.size("s") >= LEAST)
-    sets = sets.groupBy("s").agg(F.min("id").alias("id"))
-    hashed = F.array_sort(F.transform("s", lambda x: F.xxhash64(x)))
-    sets = sets.select("id", hashed.alias("h"), F.size("s").alias("n"))
+    words = docs.select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w"))
+    hashed = words.select("id", F.array_sort(F.transform(T.shingles(F.col("w"), RUN), lambda x: F.xxhash64(x))).alias("h"))
+    # the size is asked of an aggregate: asked of the array, it would be pushed below the words and part them again for each run
+    sets = hashed.groupBy(F.sha2(F.array_join(F.col("h").cast("array<string>"), ","), 256).alias("d")).agg(F.min("id").alias("id"), F.any_value("h").alias("h"))
+    sets = sets.select("id", "h", F.size("h").alias("n")).where(F.col("n") >= LEAST)
     prefix = F.slice("h", F.lit(1), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1)
     keyed = sets.select("id", "n", F.explode(prefix).alias("k"))
     a, b = keyed.select(F.col("id").alias("a_id"), F.col("n").alias("na"), "k"), keyed.select(F.col("id").alias("b_id"), F.col("n").alias("nb"), "k")
@@ -49,9 +49,9 @@ def leak_scan(docs: DataFrame, protected: DataFrame, n: int = 4) -> DataFrame:
     return own.join(grams, "g").groupBy("doc_id").agg(F.countDistinct("g").alias("grams"), F.countDistinct("item_id").alias("items"))
 
 
-def head_tokens(docs: DataFrame, least: int = 3) -> DataFrame:
-    """``doc_id, token, n``: stemmed tokens of the first characters, with counts."""
-    own = docs.select("doc_id", F.explode(T.tokens(F.substring("text", 1, HEAD))).alias("t"))
+def stemmed_tokens(docs: DataFrame, least: int = 3) -> DataFrame:
+    """``doc_id, token, n``: stemmed tokens of whole texts, with counts."""
+    own = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("t"))
     return own.where(F.length("t") >= least).select("doc_id", T.light_stem(F.col("t")).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -66,13 +66,21 @@ def tfidf_norm(tokens: DataFrame, documents: int) -> DataFrame:
     return tokens.join(idf(tokens, documents), "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sqrt(F.sum(w * w)), 6).alias("norm"))
 
 
-def blocking_pairs(tokens: DataFrame, documents: int) -> DataFrame:
-    """Pairs that share a rare token (df <= max(30, 4 % of all)), with how many they share."""
-    cap = max(30, -(-4 * documents // 100))
-    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(f"df between 2 and {cap}").select("token")
-    own = tokens.join(rare, "token").select("doc_id", "token")
-    a, b = own.select(F.col("doc_id").alias("a_id"), "token"), own.select(F.col("doc_id").alias("b_id"), "token")
-    return a.join(b, "token").where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("keys"))
+def blocking_pairs(rows: DataFrame, items: int, span: int = 7 * 86400) -> DataFrame:
+    """Pairs of ``rows(id, key, t)`` that share a rare key (df <= max(30, 4 % of
+    all)) within ``span`` seconds, with how many keys they share.
+
+    The time bound is part of the join: each row meets the spans next to its
+    own, so a key that is common over years makes no pairs across them. A row
+    without a time or a key has no pairs.
+    """
+    cap = max(30, -(-4 * items // 100))
+    rare = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(f"df between 2 and {cap}").select("key")
+    own = rows.join(rare, "key").withColumn("at", F.floor(F.col("t") / span))
+    a = own.select("key", F.col("id").alias("a_id"), F.col("t").alias("ta"), "at")
+    b = own.select("key", F.col("id").alias("b_id"), F.col("t").alias("tb"), F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at"))
+    near = (F.col("a_id") < F.col("b_id")) & (F.abs(F.col("ta") - F.col("tb")) <= span)
+    return a.join(b, ["key", "at"]).where(near).groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("keys"))
 
 
 def dedupe_urls(pages: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def _shingle_sql(words: str, n: int) -> str:
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, {_tok("substr(text, 1, 400)")} AS w FROM documents),
+WITH w AS (SELECT doc_id, {_tok("text")} AS w FROM documents),
 s AS (SELECT doc_id, list_sort({_shingle_sql("w", 3)}) AS s FROM w),
 c AS (SELECT s, min(doc_id) AS id FROM s WHERE len(s) >= 6 GROUP BY s),
 e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM c),
@@ -73,29 +73,30 @@ def leak_scan(spark, d):
     return C.leak_scan(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
 
 
-_HEAD_TOKENS = f"""x AS (SELECT doc_id, unnest({_tok("substr(text, 1, 400)")}) AS t FROM documents),
+_TOKENS = f"""x AS (SELECT doc_id, unnest({_tok("text")}) AS t FROM documents),
 k AS (SELECT doc_id, CASE WHEN length(t) >= 5 AND regexp_matches(t, '[sx]$') THEN substr(t, 1, length(t) - 1) ELSE t END AS token, count(*) AS n FROM x WHERE length(t) >= 3 GROUP BY ALL),
 f AS (SELECT token, count(*) AS df FROM k GROUP BY token), m AS (SELECT count(*) AS m FROM documents)"""
 
 
-@query(f"WITH {_HEAD_TOKENS} SELECT token, df, round(ln((m + 1.0::DOUBLE) / (df + 1)) + 1, 6) AS idf FROM f, m")
+@query(f"WITH {_TOKENS} SELECT token, df, round(ln((m + 1.0::DOUBLE) / (df + 1)) + 1, 6) AS idf FROM f, m")
 def idf_table(spark, d):
     docs = _t(spark, d, "documents")
-    return C.idf(C.head_tokens(docs), docs.count()).withColumn("idf", F.round("idf", 6))
+    return C.idf(C.stemmed_tokens(docs), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
-@query(f"""WITH {_HEAD_TOKENS}, i AS (SELECT token, ln((m + 1.0::DOUBLE) / (df + 1)) + 1 AS idf FROM f, m)
+@query(f"""WITH {_TOKENS}, i AS (SELECT token, ln((m + 1.0::DOUBLE) / (df + 1)) + 1 AS idf FROM f, m)
 SELECT doc_id, count(*) AS terms, round(sqrt(sum(pow((1 + ln(n::DOUBLE)) * idf, 2))), 6) AS norm FROM k JOIN i USING (token) GROUP BY doc_id""")
 def tfidf_norm(spark, d):
     docs = _t(spark, d, "documents")
-    return C.tfidf_norm(C.head_tokens(docs), docs.count())
+    return C.tfidf_norm(C.stemmed_tokens(docs), docs.count())
 
 
-@query(f"""WITH {_HEAD_TOKENS}, r AS (SELECT k.doc_id, k.token FROM k JOIN f USING (token), m WHERE df BETWEEN 2 AND greatest(30, ceil(m * 4 / 100.0)))
-SELECT a.doc_id AS a_id, b.doc_id AS b_id, count(*) AS keys FROM r a JOIN r b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL""")
+@query("""
+WITH f AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) BETWEEN 2 AND greatest(30, (SELECT ceil(count(*) * 4 / 100.0) FROM orders))), r AS (SELECT o_orderkey AS id, o_custkey, epoch(o_orderdate) AS t FROM orders JOIN f USING (o_custkey))
+SELECT a.id AS a_id, b.id AS b_id, count(*) AS keys FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND a.id < b.id AND abs(a.t - b.t) <= 604800 GROUP BY ALL""")
 def blocking_pairs(spark, d):
-    docs = _t(spark, d, "documents")
-    return C.blocking_pairs(C.head_tokens(docs), docs.count())
+    o = _t(spark, d, "orders")
+    return C.blocking_pairs(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.unix_timestamp("o_orderdate").alias("t")), o.count())
 
 
 @query(r"""
