@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from civisphere.plans import registry
+from civisphere.plans import registry, registry_rules  # noqa: F401  the second adds to the first
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
