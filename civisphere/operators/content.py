@@ -18,7 +18,7 @@ def near_duplicate_pairs(docs: DataFrame) -> DataFrame:
 
     Texts with the same shingles are one class, named by its smallest id, so
     copies do not multiply; pairs are between classes. Candidates share a
-    shingle of their prefixes in the order of a hash: a pair of similarity t
+    shingle of their prefixes, rarest first: a pair of similarity t
     must share one of the first n - ceil(t n) + 1 (prefix filter).
     """
     words = docs.select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w"))
@@ -26,8 +26,10 @@ def near_duplicate_pairs(docs: DataFrame) -> DataFrame:
     # the size is asked of an aggregate: asked of the array, it would be pushed below the words and part them again for each run
     sets = hashed.groupBy(F.sha2(F.array_join(F.col("h").cast("array<string>"), ","), 256).alias("d")).agg(F.min("id").alias("id"), F.any_value("h").alias("h"))
     sets = sets.select("id", "h", F.size("h").alias("n")).where(F.col("n") >= LEAST)
-    prefix = F.slice("h", F.lit(1), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1)
-    keyed = sets.select("id", "n", F.explode(prefix).alias("k"))
+    each = sets.select("id", "n", F.explode("h").alias("k"))
+    ranked = each.join(each.groupBy("k").agg(F.count(F.lit(1)).alias("df")), "k").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("r"))
+    prefix = F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1)
+    keyed = ranked.select("id", "n", F.explode(prefix).alias("x")).where("x.df > 1").select("id", "n", "x.k")
     a, b = keyed.select(F.col("id").alias("a_id"), F.col("n").alias("na"), "k"), keyed.select(F.col("id").alias("b_id"), F.col("n").alias("nb"), "k")
     pairs = a.join(b, "k").where((F.col("a_id") < F.col("b_id")) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))).select("a_id", "b_id").distinct()
     pairs = pairs.join(sets.select(F.col("id").alias("a_id"), F.col("h").alias("ha")), "a_id").join(sets.select(F.col("id").alias("b_id"), F.col("h").alias("hb")), "b_id")
