@@ -6,9 +6,8 @@ are candidates, candidates are verified by exact Jaccard similarity, and
 distributed union-find makes components, of which one line stays. Built with
 DataFrame functions only.
 
-Shingles are ``WIDTH`` characters that begin where a word does, and every
-``STRIDE`` characters inside longer words, so a line has about as many of
-them as words. Shingles at every character would cost seven times as much.
+Shingles are the ``WIDTH`` characters from every position of the line, so
+every character counts; a shorter line is its own shingle.
 """
 
 from __future__ import annotations
@@ -20,12 +19,12 @@ from pyspark.sql import functions as F
 
 from civisphere.llm.common import Scratch, connected_components
 
-WIDTH, STRIDE = 12, 16
+WIDTH = 5
 #: A pair of similarity 0.8 shares one of 8 bands of 3 with probability 0.995.
 ROWS, BANDS = 3, 8
 #: Similarity as a ratio of whole numbers.
 NUM, DEN = 4, 5
-SHINGLES = f"(?s)(?=(.{{1,{WIDTH}}}))\\S{{1,{STRIDE}}}"
+SHINGLES = f"(?s)(?=(.{{{WIDTH}}}|^.{{1,{WIDTH - 1}}}\\z))."
 #: Rows of a table up to which it is broadcast; beyond, both sides are shuffled.
 SMALL = 400_000
 #: Members that one task compares with a leader; members of a group that are compared

@@ -146,6 +146,27 @@ def test_line_dedup_family(spark):
     assert {r.doc_id: r.text for r in out.collect()} == brute_lines(rows)
 
 
+def brute_chars(rows, norm):
+    """Lines by independent shingles: five characters from every position."""
+    own = [(i, k, norm(x)) for i, t in rows for k, x in enumerate(t.split("\n")) if norm(x)]
+    sets = {x: {x[j : j + 5] for j in range(max(1, len(x) - 4))} for _, _, x in own}
+    names = sorted(sets)
+    root = union([(a, b) for j, a in enumerate(names) for b in names[:j] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8], names)
+    first = {}
+    for i, k, x in sorted(own):
+        first.setdefault(root[x], (i, k))
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if not norm(x) or first[root[norm(x)]] == (i, k)) for i, t in rows}
+
+
+def test_line_dedup_every_position(spark):
+    """One changed character, at any place, in lines without spaces too."""
+    base = ["The council met on Monday and voted for the new road plan at last.", "".join(chr(97 + 7 * k * k % 26) for k in range(90)), "日本語の文章には空白がないのでどの文字も同じように数えられなければならないのである。" * 2, "abc", "abcd"]
+    rows = [(9 * j + k, x if not k else x[: 7 * k] + "#" + x[7 * k + 1 :]) for j, x in enumerate(base) for k in range(9) if 7 * k < len(x)]
+    out = line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_chars(rows, str.strip)
+    assert {r.doc_id: r.text for r in out} == want and sum(t != "" for t in want.values()) == 5
+
+
 # 5
 
 
