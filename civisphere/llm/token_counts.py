@@ -4,17 +4,18 @@ A byte-level BPE encoding is the one sequence of tokens whose adjacent pairs
 are all compatible, so the encoding of a prefix is fixed by its last token
 and the encoding of what is before it. A table over the prefixes of a match
 holds that last token and the count; each is found from shorter ones. A
-document stores the lengths and counts of its matches, from which the count
-of any prefix, truncation to a budget and chunking follow without encoding
-the document again.
+document stores the count of every prefix, by characters, as packed steps
+from one to the next. The count of any prefix and truncation to a budget, also
+inside a match, are read from them without encoding the document again.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,9 @@ class Counter:
         self.bpe = Ranks(ranks, whole=False)
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.kept: dict[str, int] = {}
+        self.blank, self.parted = regex.compile(r"\s+"), regex.compile(r"\s\s+\S")
+        #: Tokens and packed steps of matches, and of runs of white space with the match behind them.
+        self.kept: dict[str | tuple, tuple[int, bytes]] = {}
         #: Longest token that ends with given three bytes.
         self.reach: dict[bytes, int] = {}
         for b in ranks:
@@ -72,15 +75,52 @@ class Counter:
             counts[end], last[end] = counts[at] + 1, t
         return counts
 
-    def match(self, part: str) -> int:
-        """Tokens of one match of the pattern."""
-        if (n := self.kept.get(part)) is None:
-            n = self.table(part.encode("utf-8", "surrogatepass"))[-1]
-            if len(self.kept) > KEPT:
-                self.kept.clear()
-            if len(part) <= 64:
-                self.kept[part] = n
-        return n
+    def along(self, part: str) -> list[int]:
+        """Token counts of all prefixes of a match by characters, from the empty one on."""
+        counts = self.table(part.encode("utf-8", "surrogatepass"))
+        if len(counts) == len(part) + 1:
+            return counts
+        at = accumulate((len(c.encode("utf-8", "surrogatepass")) for c in part), initial=0)
+        return [counts[k] for k in at]
+
+    def match(self, part: str) -> tuple[int, bytes]:
+        """Tokens of one match of the pattern, and the packed steps of its prefixes.
+
+        Prefixes of a contraction are no contractions, so they are matched anew.
+        """
+        if (got := self.kept.get(part)) is None:
+            if part[0] == "'" and part[1:].isalpha():
+                counts = [0, *(sum(self.match(p)[0] for p in self.pattern.findall(part[:k])) for k in range(1, len(part))), self.along(part)[-1]]
+            else:
+                counts = self.along(part)
+            got = counts[-1], steps(counts)
+            self.keep(part, got)
+        return got
+
+    def keep(self, key: str | tuple, value: tuple[int, bytes]) -> None:
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        if sum(map(len, key)) <= 64:
+            self.kept[key] = value
+
+    def spaced(self, blank: tuple[str, ...], part: str) -> tuple[int, bytes]:
+        """As ``match``, for matches of white space and the match behind them.
+
+        White space at the end of a text is one match, but before other
+        characters its last one is parted from the rest, so prefixes that end
+        in white space are counted as one match from where it begins.
+        """
+        key = (*blank, part)
+        if (got := self.kept.get(key)) is None:
+            lead = 0 if self.blank.fullmatch(part) else len(part) - len(part.lstrip(" "))
+            before = sum(self.match(p)[0] for p in blank)
+            counts = self.along("".join(blank) + part[:lead]) + [before + n for n in self.along(part)[lead + 1 :]]
+            if part[0] == "'" and part[1:].isalpha():
+                for k in range(1, len(part)):
+                    counts[k - len(part) - 1] = before + sum(self.match(p)[0] for p in self.pattern.findall(part[:k]))
+            got = counts[-1], steps(counts)
+            self.keep(key, got)
+        return got
 
     def split(self, text: str) -> list[tuple[str, bool]]:
         """Stretches of ordinary text and special tokens, in order."""
@@ -92,88 +132,102 @@ class Counter:
             at = m.end()
         return out + [(text[at:], False)] * (at < len(text))
 
+    def ordinary(self, part: str) -> tuple[int, list[bytes]]:
+        """Tokens and packed steps of a stretch without special tokens."""
+        found = self.pattern.findall(part)
+        got = list(map(self.kept.get, found))
+        if None in got:
+            match = self.match
+            got = [match(p) if v is None else v for p, v in zip(found, got, strict=True)]
+        if not self.parted.search(part):
+            return sum(v[0] for v in got), [v[1] for v in got]
+        total, out, blank = 0, [], []
+        for p, v in zip(found, got, strict=True):
+            if self.blank.fullmatch(p):
+                blank.append(p)
+                continue
+            if blank:
+                v = self.spaced(tuple(blank), p)
+                blank = []
+            total += v[0]
+            out.append(v[1])
+        if blank:  # at the end it is one match
+            n, packed = self.match("".join(blank))
+            total += n
+            out.append(packed)
+        return total, out
+
     def index(self, text: str | None) -> Prefixes:
-        """The stored index of a text: characters and tokens of each match."""
-        sizes, counts = [], []
+        """The stored index of a text: the packed steps of its prefix counts."""
+        total, out, last = 0, [], ""
         for part, special in self.split(text or ""):
             if special:
-                sizes.append(len(part))
-                counts.append(1)
-                continue
-            found = self.pattern.findall(part)
-            got = list(map(self.kept.get, found))
-            if None in got:
-                match = self.match
-                got = [match(p) if v is None else v for p, v in zip(found, got, strict=True)]
-            sizes.extend(map(len, found))
-            counts.extend(got)
-        return Prefixes(sizes, counts)
+                # a part of a special token is ordinary text and can join what is before it
+                counts = [total, *(total + self.joined(last, part[:k]) for k in range(1, len(part))), total + 1]
+                out.append(steps(counts))
+                total, last = total + 1, ""
+            else:
+                n, packed = self.ordinary(part)
+                total, last = total + n, part
+                out += packed
+        return Prefixes(total, b"".join(out))
 
-    def prefix(self, index: Prefixes, text: str, size: int) -> int:
-        """Tokens of ``text[:size]``, from the index and the last few matches.
+    def joined(self, before: str, start: str) -> int:
+        """Tokens that the start of a special token adds to the stretch before it."""
+        tail = self.pattern.findall(before)[-1:] if before else []
+        old = sum(self.match(p)[0] for p in tail)
+        return sum(self.index(t).total for t in ["".join(tail) + start]) - old
 
-        What follows a match can decide it only in white space at the end, so
-        the count before the last stored boundary that is neither within nor
-        behind white space holds, and the rest is counted by its tables.
-        """
-        size = max(0, min(size, index.ends[-1] if index.ends else 0))
-        k = int(np.searchsorted(index.ends, size, "left"))  # matches that end before size
-        while k and (text[(index.ends[k - 2] if k > 1 else 0) : index.ends[k - 1]].isspace() or index.ends[k - 1] >= size):
-            k -= 1
-        at = index.ends[k - 1] if k else 0
-        return (index.totals[k - 1] if k else 0) + sum(self.index(text[at:size]).counts)
+    def prefix(self, index: Prefixes, text: str, size: int) -> int:
+        """Tokens of ``text[:size]``, from the index."""
+        return int(index.counts[max(0, min(size, len(index.counts) - 1))])
 
     def truncate(self, index: Prefixes, text: str, budget: int) -> str:
-        """The longest prefix, ending where a match does, of ``budget`` tokens or fewer."""
-        k = int(np.searchsorted(index.totals, budget, "right"))
-        while k and self.prefix(index, text, index.ends[k - 1]) > budget:
-            k -= 1
-        return text[: index.ends[k - 1]] if k else ""
+        """The longest prefix of ``budget`` tokens or fewer."""
+        fits = np.flatnonzero(index.counts <= budget)
+        return text[: fits[-1]] if len(fits) else ""
 
 
-class Prefixes:
-    """Characters and tokens of the matches of a text, and their running sums."""
+def steps(counts: list[int]) -> bytes:
+    """Differences of neighbours as unsigned variable-length numbers, 0, -1, 1, -2, ... as 0, 1, 2, 3."""
+    out = bytearray()
+    for a, b in pairwise(counts):
+        v = 2 * (b - a) if b >= a else 2 * (a - b) - 1
+        while v > 127:
+            out.append(v & 127 | 128)
+            v >>= 7
+        out.append(v)
+    return bytes(out)
 
-    def __init__(self, sizes: list[int], counts: list[int]):
-        self.sizes, self.counts = sizes, counts
 
-    @property
-    def ends(self) -> list[int]:
-        if not hasattr(self, "_ends"):
-            self._ends = list(accumulate(self.sizes))
-        return self._ends
+class Prefixes:
+    """Token counts of all prefixes of a text, by characters, and the last of them."""
+
+    def __init__(self, total: int, packed: bytes):
+        self.total, self.packed = total, packed
 
     @property
-    def totals(self) -> list[int]:
-        if not hasattr(self, "_totals"):
-            self._totals = list(accumulate(self.counts))
-        return self._totals
+    def counts(self) -> np.ndarray:
+        """Counts from the empty prefix on."""
+        if not hasattr(self, "_counts"):
+            raw = np.frombuffer(self.packed, np.uint8).astype(np.int64)
+            if len(raw) and raw.max() > 127:
+                ends = np.flatnonzero(raw < 128)
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
+                raw = np.add.reduceat((raw & 127) << (7 * place), starts)
+            self._counts = np.concatenate([[0], np.cumsum(np.where(raw & 1, -(raw + 1) // 2, raw // 2))])
+        return self._counts
 
     def pack(self) -> bytes:
-        """Two unsigned variable-length numbers for each match."""
-        if max(self.sizes, default=0) < 128 and max(self.counts, default=0) < 128:
-            out = bytearray(2 * len(self.sizes))
-            out[::2], out[1::2] = self.sizes, self.counts
-            return bytes(out)
-        out = bytearray()
-        for pair in zip(self.sizes, self.counts, strict=True):
-            for v in pair:
-                while v > 127:
-                    out.append(v & 127 | 128)
-                    v >>= 7
-                out.append(v)
-        return bytes(out)
+        """The steps, deflated."""
+        return zlib.compress(self.packed, 1)
 
     @classmethod
     def unpack(cls, data: bytes) -> Prefixes:
-        values, v, shift = [], 0, 0
-        for b in data:
-            v |= (b & 127) << shift
-            shift += 7
-            if b < 128:
-                values.append(v)
-                v = shift = 0
-        return cls(values[::2], values[1::2])
+        out = cls(0, zlib.decompress(data))
+        out.total = int(out.counts[-1])
+        return out
 
 
 @lru_cache(2)
@@ -211,7 +265,7 @@ def count_documents(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> Dat
             for text in batch.column(1).to_pylist():
                 p = own.index(text)
                 sizes.append(len((text or "").encode("utf-8", "surrogatepass")))
-                counts.append(sum(p.counts))
+                counts.append(p.total)
                 packed.append(p.pack())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(packed, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_index"])
 

@@ -304,3 +304,20 @@ def test_token_counts(spark, odd, none):
         assert [own.prefix(index, t, n) for n in range(len(t) + 1)] == [count(t[:n]) for n in range(len(t) + 1)]
     cut = token_counts.truncate_documents(odd.where("doc_id = 6"), out, JSON, 50).first().text
     assert count(cut) == 50
+
+
+def test_token_counts_inside_matches(spark):
+    """The stored counts hold at every character, and truncation ends inside a match."""
+    ref, own = Tokenizer.from_file(JSON), token_counts.counter(JSON)
+    count = lambda t: len(ref.encode(t, add_special_tokens=False).ids)
+    texts = ["a \t b\n\n  c\t\td \n", "  'll 're''s  'v", "x !!<|endoftext|>'s  <|endoftext|>\n <|endoftext|><|endo", "日本語の文章🙂é " * 3, "https://example.org/aGVsbG8gd29ybGQ=" * 3, "\u00a0\u3000 a \u2003b", " " * 70 + "x" * 70, "", "\n \n'd\n\n'd"]
+    for t in texts:
+        index = token_counts.Prefixes.unpack(own.index(t).pack())
+        want = [count(t[:n]) for n in range(len(t) + 1)]
+        assert index.counts.tolist() == want and own.index(t).total == want[-1], t
+    run = "".join(chr(97 + k * k * k % 26) for k in range(3000))
+    df = spark.createDataFrame([(1, run), (2, "語" * 3000)], "doc_id long, text string")
+    index = token_counts.count_documents(df, JSON)
+    for r in token_counts.truncate_documents(df, index, JSON, 50).collect():
+        whole = run if r.doc_id == 1 else "語" * 3000
+        assert r.text and whole.startswith(r.text) and count(r.text) <= 50 < count(whole[: len(r.text) + 1])
