@@ -58,6 +58,11 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], scratch: Scratch, sweeps
     return now
 
 
+def _draw() -> Column:
+    """A number from 0 to 1 that the id fixes."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def mix(docs: DataFrame, sweeps: int = SWEEPS, flatten: dict[str, float] = FLATTEN, keep: bool = False) -> DataFrame:
     """Sampling probability of every document and whether it is sampled.
 
@@ -81,13 +86,27 @@ def mix(docs: DataFrame, sweeps: int = SWEEPS, flatten: dict[str, float] = FLATT
     goals = {names[c]: scratch.save(targets(cells, names[c], p), "goal") for c, p in flatten.items()}
     fitted = rake(cells, goals, scratch, sweeps).select(F.col("__source").alias("s"), F.col("__lang").alias("l"), F.col("topic").alias("t"), F.round(F.col("weight") / F.col("tokens"), 9).alias("ratio"))
     fitted = scratch.save(fitted, "ratios")
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
     # Spark broadcasts the cells only below its own size limit
     out = rows.join(fitted, (F.col("__source") == F.col("s")) & (F.col("__lang") == F.col("l")) & (rows["topic"] == F.col("t")))
-    out = out.withColumn("probability", F.least(F.lit(1.0), F.col("ratio"))).withColumn("weight", F.greatest(F.lit(1.0), F.col("ratio"))).withColumn("sampled", draw < F.col("probability"))
+    out = out.withColumn("probability", F.least(F.lit(1.0), F.col("ratio"))).withColumn("weight", F.greatest(F.lit(1.0), F.col("ratio"))).withColumn("sampled", _draw() < F.col("probability"))
     return out.drop("__source", "__lang", "s", "l", "t", "ratio")
 
 
+def resample(docs: DataFrame, sweeps: int = SWEEPS, flatten: dict[str, float] = FLATTEN) -> DataFrame:
+    """``docs`` with every row as often as the ratio of its cell asks for.
+
+    A row comes as often as the whole part of the ratio, and once more with
+    the rest as probability, so the tokens of the rows meet the targets in
+    expectation without a weight. Rows that ``mix`` samples stay, those of
+    cells below their share repeat.
+    """
+    out = mix(docs.withColumn("__kept", F.struct(*(F.col(c) for c in docs.columns))), sweeps, flatten, keep=True)
+    # one of the two is 1
+    ratio = F.col("probability") * F.col("weight")
+    times = (F.floor(ratio) + (_draw() < ratio - F.floor(ratio)).cast("long")).cast("int")
+    return out.select("__kept", F.explode(F.array_repeat(F.lit(0), times))).select("__kept.*")
+
+
 def oracle(sweeps: int = SWEEPS) -> str:
     """DuckDB SQL for ``mix``."""
     topic = " ".join(f"WHEN contains(text, '{m}') THEN '{n}'" for n, m in TOPICS)

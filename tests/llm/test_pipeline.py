@@ -25,3 +25,16 @@ def test_stages(spark):
         assert k == 4 or out.columns == docs.columns
         docs = out
     assert docs.count() > 0
+
+
+def test_mixing_meets_targets(spark):
+    """Rows of the stage have the target shares of tokens, cells below their share too."""
+    rows = [(i, "word " * 40, "en" if i % 25 else "es", "big" if i % 20 else "small", 200) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.sample_mix(spark, docs, "").collect()
+    assert set(out) <= set(docs.collect())
+    for column, k in (("source", 3), ("lang", 2)):
+        own = {v: sum(r[k] == v for r in rows) ** mixing.FLATTEN[column] for v in {r[k] for r in rows}}
+        for v, x in own.items():
+            goal = 6000 * x / sum(own.values())
+            assert abs(sum(r[column] == v for r in out) / goal - 1) < 0.08
