@@ -57,6 +57,14 @@ def _small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def band_keys(each: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """``keys``, ``more`` and ``bands`` of sets, from rows of ``keys`` and an element's hash ``h``."""
+    masks = _masks(ROWS * BANDS)
+    out = each.groupBy(*keys).agg(*more, *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)))
+    bands = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)]
+    return out.withColumn("bands", F.array(*bands)).drop(*(f"m{i}" for i in range(len(masks))))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """``k1, k2, n, bands``: distinct lines, how often they come, and their band keys.
 
@@ -65,13 +73,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """
     each = _lines(docs).select("k1", "k2", F.posexplode(shingles(F.col("line"))).alias("i", "s"))
     each = each.select("k1", "k2", "i", F.xxhash64("s").alias("h"))
-    masks = _masks(ROWS * BANDS)
-    out = each.groupBy("k1", "k2").agg(
-        F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"),
-        *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)),
-    )
-    bands = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)]
-    return out.select("k1", "k2", "n", F.array(*bands).alias("bands"))
+    return band_keys(each, ["k1", "k2"], F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
 
 
 def _leaders(left: DataFrame) -> DataFrame:

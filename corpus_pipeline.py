@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civisphere.llm import line_dedup, mixing, queries, simhash, toxicity
+from civisphere.llm import line_dedup, mixing, queries, toxicity, word_near
 from civisphere.llm.common import Scratch
 
 
@@ -28,9 +28,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
+    """Of each group of texts alike by 0.8 in five-word shingles the document of the smallest id stays."""
     scratch = Scratch(spark, "near")
-    found = scratch.save(simhash.near_duplicates(docs).select(F.col("doc_id").alias("id"), "component_id"), "found")
+    found = scratch.save(word_near.near_duplicates(docs).select(F.col("doc_id").alias("id"), "component_id"), "found")
     gone = scratch.save(found.where("id <> component_id").select("id").distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= line_dedup.SMALL else gone
     left = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
@@ -51,12 +51,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
-    ("simhash near-dedup", drop_near_duplicates),
+    ("word near-dedup", drop_near_duplicates),
     ("mixing", sample_mix),
     ("byte bpe", encode),
 ]
 
-#: Fingerprints, components over them and tokens have no SQL; tests compare with brute force.
+#: Components and tokens have no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

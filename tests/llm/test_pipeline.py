@@ -1,7 +1,7 @@
 import corpus_pipeline
 from civisphere.llm import mixing, simhash, toxicity
 
-from .test_operators import brute_lines, check_simhash
+from .test_operators import brute_lines, check_simhash, union
 
 
 def test_stages(spark):
@@ -38,3 +38,21 @@ def test_mixing_meets_targets(spark):
         for v, x in own.items():
             goal = 6000 * x / sum(own.values())
             assert abs(sum(r[column] == v for r in out) / goal - 1) < 0.08
+
+
+def test_near_copies_go(spark):
+    """Copies with scattered edits, which fingerprints at distance two miss, by brute force."""
+    rows = []
+    for i in range(60):
+        words = [f"w{i // 12}x{k}" for k in range(200)]
+        for k in range(i % 12 % 7):
+            words[(i * 31 + k * 29) % 200] = f"edit{i}y{k}"
+        rows.append((i, " ".join(words).upper() if i % 12 == 5 else " ".join(words)))
+    rows += [(60, "one two"), (61, "One  two"), (62, "one three"), (63, ""), (64, None), (65, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in own.items()}
+    root = union([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in out) == sorted(set(root.values()))
+    assert len(out) < docs.count() / 3
