@@ -36,11 +36,15 @@ def _masks(n: int) -> list[int]:
     return [int.from_bytes(hashlib.sha256(f"mask {i}".encode()).digest()[:8], "big", signed=True) for i in range(n)]
 
 
-def normal(line: Column) -> Column:
-    """What of a line is compared: it without white space around it."""
+def trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
 
 
+def normal(line: Column) -> Column:
+    """What of a line is compared: lower case, without white space around it."""
+    return F.lower(trimmed(line))
+
+
 def shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
 
@@ -236,7 +240,7 @@ def dedupe_lines(docs: DataFrame, keep: bool = False) -> DataFrame:
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    full = F.coalesce(F.size(F.filter(lines, lambda x: normal(x) != "")), F.lit(0))
+    full = F.coalesce(F.size(F.filter(lines, lambda x: trimmed(x) != "")), F.lit(0))
     out = out.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(full))
     out = out.withColumn("n_kept", F.col("n_lines") - F.coalesce(F.size("drop"), F.lit(0)))
     out = out.withColumn("text", F.when(F.col("drop").isNull(), text).otherwise(left))

@@ -167,6 +167,12 @@ def test_line_dedup_every_position(spark):
     assert {r.doc_id: r.text for r in out} == want and sum(t != "" for t in want.values()) == 5
 
 
+def test_line_dedup_case(spark):
+    rows = [(1, "The Council Met On Monday"), (2, "THE COUNCIL MET ON MONDAY\nÉTÉ à Paris"), (3, "the council met on monday!\nété À PARIS\nAB")]
+    out = line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "ÉTÉ à Paris", 3: "AB"} == brute_chars(rows, lambda x: x.strip(" \t\r").lower())
+
+
 # 5
 
 
