@@ -64,7 +64,7 @@ def _small(df: DataFrame, rows: int = SMALL) -> DataFrame:
 def band_keys(each: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """``keys``, ``more`` and ``bands`` of sets, from rows of ``keys`` and an element's hash ``h``."""
     masks = _masks(ROWS * BANDS)
-    out = each.groupBy(*keys).agg(*more, *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)))
+    out = each.groupBy(*keys).agg(*more, *(F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(m)))).alias(f"m{i}") for i, m in enumerate(masks)))
     bands = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)]
     return out.withColumn("bands", F.array(*bands)).drop(*(f"m{i}" for i in range(len(masks))))
 
