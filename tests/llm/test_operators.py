@@ -291,6 +291,15 @@ def test_merkle(spark, odd, none):
     assert got == [[(0, 1, 0), (1, 1, 0)], []]
 
 
+def test_merkle_full_root(spark):
+    """The root is made from full leaf digests, the listed leaves are short."""
+    text = "a" * 70 + "\nb\n\nc"
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    want = md5(md5(md5(",".join((md5("a" * 64), md5("a" * 6)))) + md5(md5("b"))) + md5(md5(md5("c"))))
+    got = merkle.fingerprint_documents(spark.createDataFrame([(text,)], "text string")).first().fingerprint
+    assert got == f"{want}:{md5('a' * 64)[:8]},{md5('a' * 6)[:8]};{md5('b')[:8]}/{md5('c')[:8]}"
+
+
 def test_merkle_stretches(docs, monkeypatch):
     want = sorted(merkle.compare_edited(docs).collect())
     monkeypatch.setattr(merkle, "STRETCH", 13)
