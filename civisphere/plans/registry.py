@@ -163,8 +163,7 @@ def number_extraction(spark, d):
 @query("SELECT s.source, l.lang FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT DISTINCT lang FROM documents) l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = s.source AND d.lang = l.lang AND strlen(d.text) > 20000)")
 def silence_map(spark, d):
     docs = _t(spark, d, "documents")
-    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").limit(1000).collect()]
-    roster = docs.select("source").distinct().select("source", F.explode(F.array(*map(F.lit, langs))).alias("lang"))
+    roster = docs.select("source").distinct().crossJoin(docs.select("lang").distinct())
     return roster.join(docs.where(F.octet_length("text") > 20000).select("source", "lang"), ["source", "lang"], "left_anti")
 
 

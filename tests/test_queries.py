@@ -30,3 +30,9 @@ def test_query_equals_sql(spark, db, name):
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
     order = [sql.columns.index(c) for c in cols]
     assert got == sorted((tuple(plain(r[i]) for i in order) for r in sql.fetchall()), key=repr)
+
+
+def test_silence_map_many_languages(spark, tmp_path):
+    rows = [("a" if k % 2 else "b", f"l{k:04}", "x") for k in range(1200)]
+    spark.createDataFrame(rows, "source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["silence_map"](spark, str(tmp_path)).distinct().count() == 2400
