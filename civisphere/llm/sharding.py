@@ -2,9 +2,11 @@
 
 Documents that are linked (they share a hub, such as one equal text) move
 towards the shard that holds most of their neighbours, round by round, while
-every shard has a quota of rows. A last exact pass fills the quotas, moving
-unlinked documents first. All tables but the loads of the shards stay
-distributed.
+every shard has a quota of rows. The state of a round is how many documents
+of each hub a shard holds, so a round costs by hubs and not by documents;
+documents are dealt once, after the last round. A last exact pass fills the
+quotas, moving unlinked documents first. All tables but the loads of the
+shards stay distributed.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from pyspark.sql import Window as W
 
 from civisphere.llm.common import Scratch
 
-SHARDS, ROUNDS, SEED = 24, 24, 17
+SHARDS, ROUNDS, SEED = 24, 12, 17
 #: Hash buckets by which a quota admits part of the movers.
 PARTS = 64
 #: Rows of a numbering block, about.
 BLOCK = 4000
+#: Hubs up to which their shards are broadcast, at some 300 bytes each.
+SMALL = 100_000
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -31,59 +35,56 @@ def _literal(values: list[int]) -> Column:
     return F.array(*(F.lit(int(v)).cast("long") for v in values))
 
 
-def propagate(links: DataFrame, shards: int, quota: list[int], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """Move linked documents between shards; returns ``(doc, hub, shard)``.
+def propagate(held: DataFrame, shards: int, quota: list[int], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """Move the members of hubs between shards; ``held(hub, shard, n)`` in and out.
 
-    ``links(doc, hub)`` names a hub for each linked document. In a round each
-    hub looks for the shard with most of its members that has room left, and
-    members in shards with fewer of them ask to move there. Each shard admits
-    by size of the hub, largest first, as many as its quota has room for; what
-    is admitted in part is chosen by a hash (of the hub, or of the document if
-    the hub is too large for a shard). Ends when nothing moves.
+    In a round each hub looks for the shard with most of its members that has
+    room left, and members in shards with fewer of them ask to move there.
+    Each shard admits by size, largest first, as many as its quota has room
+    for; where not all fit, hubs are chosen by a hash, and of a hub too large
+    for a shard that share of each request goes. Ends when nothing moves.
     """
-    start = links.select("doc", "hub", F.pmod(F.xxhash64(F.lit(SEED), "doc"), F.lit(shards)).cast("int").alias("shard"))
-    state = scratch.save(start, "labels")
+    spark, state = held.sparkSession, scratch.save(held, "held")
+    limit = max(1, min(quota, default=1) // 4)
     for _ in range(rounds):
-        held = state.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-        loads = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = [max(0, quota[s] - loads.get(s, 0)) for s in range(shards)]
-        room, limit = _literal(free), max(1, min(quota, default=1) // 4)
-        open_ = held.withColumn("open", room[F.col("shard")] > 0)
-        best = open_.groupBy("hub").agg(
-            F.max(F.when(F.col("open"), F.struct("n", (-F.col("shard")).alias("s")))).alias("b"),
+        best = state.groupBy("hub").agg(
+            F.max(F.when(_literal(free)[F.col("shard")] > 0, F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard"))).alias("b"),
             F.sum("n").alias("size"),
-        ).where("b is not null").select("hub", (-F.col("b.s")).alias("to"), F.col("b.n").alias("most"), "size")
-        # a third of all rows may have one hub: the other side of this join has one row for each hub
-        asks = state.join(held, ["hub", "shard"]).join(best, "hub").where("shard <> to and n <= most")
-        # of two shards with equally many members the lower number stays
-        asks = asks.where("n < most or shard > to")
-        key = F.when(F.col("size") > limit, F.xxhash64(F.lit(3), "doc")).otherwise(F.xxhash64(F.lit(3), "hub"))
-        asks = asks.select("doc", "to", F.floor(F.log2("most")).cast("int").alias("rank"), F.pmod(key, F.lit(PARTS)).cast("int").alias("part"))
-        wanted = asks.groupBy("to", "rank", "part").agg(F.count(F.lit(1)).alias("n")).collect()
-        cuts, left = {}, list(free)
-        for r in sorted(wanted, key=lambda r: (r["to"], -r["rank"], r["part"])):
-            if r["n"] <= left[r["to"]]:
-                left[r["to"]] -= r["n"]
-                cuts[r["to"], r["rank"], r["part"]] = 1.0
-            elif left[r["to"]]:
-                cuts[r["to"], r["rank"], r["part"]] = left[r["to"]] / r["n"]
-                left[r["to"]] = 0
+        ).where("b is not null").select("hub", F.col("b.shard").alias("to"), F.col("b.n").alias("most"), "size")
+        asks = state.join(best, "hub").where("shard <> to and n <= most")
+        lot = F.pmod(F.xxhash64(F.lit(11), "hub"), F.lit(1 << 20)) / float(1 << 20)
+        asks = asks.select("hub", "shard", "to", "n", F.floor(F.log2("most")).cast("int").alias("rank"), F.pmod(F.xxhash64(F.lit(3), "hub"), F.lit(PARTS)).cast("int").alias("part"), (F.col("size") > limit).alias("large"), lot.alias("lot"))
+        asks = scratch.save(asks, "asks")
+        # bounded: shards x sizes as powers of two x hash buckets
+        wanted = asks.groupBy("to", "rank", "part", "large").agg(F.sum("n").alias("n")).collect()
+        cuts, left = [], list(free)
+        for r in sorted(wanted, key=lambda r: (r["to"], -r["rank"], r["part"], r["large"])):
+            if got := min(r["n"], left[r["to"]]):
+                left[r["to"]] -= got
+                cuts.append((r["to"], r["rank"], r["part"], r["large"], got / r["n"]))
         if not cuts:
             break
-        # bounded: shards x sizes as powers of two x hash buckets
-        admit = state.sparkSession.createDataFrame([(*k, float(v)) for k, v in cuts.items()], "to int, rank int, part int, share double")
-        lot = F.pmod(F.xxhash64(F.lit(11), "doc"), F.lit(1 << 20)) / float(1 << 20)
-        moved = asks.join(F.broadcast(admit), ["to", "rank", "part"]).where(lot < F.col("share")).select("doc", F.col("to").alias("moved"))
-        nxt = scratch.save(state.join(moved.distinct(), "doc", "left").select("doc", "hub", F.coalesce("moved", "shard").cast("int").alias("shard")), "labels")
-        scratch.drop(state)
-        state = nxt
+        admit = spark.createDataFrame(cuts, "to int, rank int, part int, large boolean, share double")
+        moves = asks.join(F.broadcast(admit), ["to", "rank", "part", "large"])
+        # of a large hub that share goes, from the shards with most of it first
+        hub = W.partitionBy("hub")
+        before = F.sum("n").over(hub.orderBy(F.desc("n"), "shard")) - F.col("n")
+        taken = F.least("n", F.greatest(F.lit(0), F.floor(F.sum("n").over(hub) * F.col("share") + 1e-6) - before))
+        k = F.when(F.col("large"), taken).when(F.col("lot") < F.col("share"), F.col("n")).otherwise(0).cast("long")
+        moves = moves.select("hub", "shard", "to", k.alias("k")).where("k > 0")
+        after = state.union(moves.select("hub", "shard", -F.col("k"))).union(moves.select("hub", "to", "k"))
+        after = scratch.save(after.groupBy("hub", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "held")
+        scratch.drop(state, asks)
+        state = after
     return state
 
 
 def fill(rows: DataFrame, shards: int, quota: list[int], total: int) -> DataFrame:
     """Place rows so that every shard holds exactly its quota.
 
-    ``rows`` has ``doc``, ``shard`` (wanted), ``linked`` and any others; adds
+    ``rows`` has ``uid``, ``shard`` (wanted), ``linked`` and any others; adds
     ``slot`` and replaces ``shard``. A row keeps its shard while its number
     there is below the quota; linked rows are numbered first. The rest are
     numbered over all shards and take the free slots in order. Numbers come
@@ -91,7 +92,7 @@ def fill(rows: DataFrame, shards: int, quota: list[int], total: int) -> DataFram
     whole shard.
     """
     blocks = max(1, total // (shards * BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "doc"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "uid"), F.lit(blocks)).cast("int"))
     key = ["shard", "linked", "block"]
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy(F.desc("linked"), "block").rowsBetween(W.unboundedPreceding, -1)
@@ -100,7 +101,7 @@ def fill(rows: DataFrame, shards: int, quota: list[int], total: int) -> DataFram
     have = [loads.get(s, 0) for s in range(shards)]
     over, short = [max(0, h - q) for h, q in zip(have, quota, strict=True)], [max(0, q - h) for h, q in zip(have, quota, strict=True)]
     over_before, short_end = [sum(over[:s]) for s in range(shards)], [sum(short[: s + 1]) for s in range(shards)]
-    inner = W.partitionBy(*key).orderBy("doc", "size", "crc")
+    inner = W.partitionBy(*key).orderBy("uid")
     placed = rows.join(ahead, key).withColumn("pos", F.col("ahead") + F.row_number().over(inner) - 1)
     extra = F.col("pos") - _literal(quota)[F.col("shard")]
     number = F.when(extra >= 0, extra + _literal(over_before)[F.col("shard")])
@@ -121,8 +122,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     Repeated rows are placed each on its own; a null id is placed like any
     other row. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "shards")
+    scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     base = docs.select(
         docs["doc_id"].alias("doc_id"),
@@ -131,17 +131,26 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         F.xxhash64(text).alias("h1"),
         F.xxhash64(F.lit(7), text).alias("h2"),
     )
-    base = scratch.save(base.withColumn("doc", F.xxhash64("doc_id", "h1")), "rows")
-    groups = base.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).where("n > 1")
-    # one row for each document value: repeated rows move together
-    links = base.join(groups, ["h1", "h2"]).select("doc", "hub").distinct()
-    total = base.count()
-    quota = quotas(total, shards)
-    state = propagate(links, shards, quota, scratch, rounds).select("doc", F.col("shard").alias("own"))
-    rows = base.join(state, "doc", "left").select(
-        "doc_id", "size", "crc", "doc",
-        F.coalesce("own", F.pmod(F.xxhash64(F.lit(SEED), "doc"), F.lit(shards)).cast("int")).alias("shard"),
-        F.col("own").isNotNull().alias("linked"),
-    )
-    out = fill(scratch.save(rows, "wanted"), shards, quota, total)
+    # the number of a row stands once the table is written
+    base = scratch.save(base.withColumn("uid", F.monotonically_increasing_id()), "rows")
+    start = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "h1"), F.lit(shards)).cast("int")
+    each = base.groupBy("h1", "h2", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    hubs = scratch.save(each.groupBy("h1", "h2").agg(F.sum("n").alias("size")).where("size > 1").select("h1", "h2", F.monotonically_increasing_id().alias("hub")), "hubs")
+    quota = quotas(base.count(), shards)
+    held = propagate(each.join(hubs, ["h1", "h2"]).select("hub", "shard", "n"), shards, quota, scratch, rounds)
+    # members of a hub are dealt to its shards by a hash, in proportion
+    ahead = F.sum("n").over(W.partitionBy("hub").orderBy("shard"))
+    ends = held.select("hub", "shard", ahead.alias("end")).groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"), F.max("end").alias("size"))
+    ends = scratch.save(hubs.join(ends, "hub").drop("hub"), "ends")
+    ends = F.broadcast(ends) if ends.count() <= SMALL else ends
+    lot = F.pmod(F.xxhash64(F.lit(9), "uid"), F.col("size"))
+    own = F.get(F.filter("ends", lambda e: e["end"] > F.col("lot")), 0)["shard"]
+    rows = base.withColumnRenamed("size", "bytes").join(ends, ["h1", "h2"], "left").withColumn("lot", lot).select("doc_id", F.col("bytes").alias("size"), "crc", "uid", F.coalesce(own, start).alias("shard"), own.isNotNull().alias("linked"))
+    out = fill(scratch.save(rows, "wanted"), shards, quota, sum(quota))
     return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut_edges(sharded: DataFrame, key: str) -> DataFrame:
+    """``edges, cut``: pairs of rows with an equal ``key``, and those of them in different shards, from counts."""
+    n = sharded.groupBy(key, "shard").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return n.agg(F.sum((F.col("all") * F.col("all") - F.col("all")) / 2).cast("long").alias("edges"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).cast("long").alias("cut"))
