@@ -27,6 +27,8 @@ BITS = 20
 #: Lengths of the word beginnings that stand beside a whole word.
 HEADS = (4, 5, 6)
 BIAS, EPOCHS, RATE, L1 = -9.0, 60, 1.0, 3.5e-4
+#: Features that one step of the training works on.
+PART = 1 << 20
 THRESHOLD = 0.7
 
 _SENTENCE = re.compile(r"[^.!?\n\r…。！？]+")
@@ -63,63 +65,77 @@ class NoisyOr:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Document score and the sentences as (start, end, score)."""
-        rest, out, low = 0.0, [], (text or "").lower()
-        same = len(low) == len(text or "")
+        rest, out, text = 0.0, [], text or ""
         known, word = self.known, self.word
-        for a, b in sentences(low):
+        for a, b in sentences(text):
             z = self.bias
-            for w in set(_WORD.findall(low, a, b)):
+            for w in set(_WORD.findall(text[a:b].lower())):
                 v = known.get(w)
                 z += word(w) if v is None else v
             p = 1 / (1 + np.exp(-z)) if -500 < z < 500 else float(z > 0)
             rest += np.log1p(-min(p, 1 - 1e-12))
-            out.append((a if same else -1, b if same else -1, float(p)))
+            out.append((a, b, float(p)))
         return float(-np.expm1(rest)), out
 
 
-def train(texts: list[str], labels: list[int]) -> NoisyOr:
+def bag(text: str | None, cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a document, sentence after sentence, and how many each sentence has."""
+    cols, sizes, text = [], [], text or ""
+    for a, b in sentences(text):
+        n = len(cols)
+        for w in sorted(set(_WORD.findall(text[a:b].lower()))):
+            if w not in cache:
+                cache[w] = features(w)
+            cols.extend(cache[w])
+        sizes.append(len(cols) - n)
+    return np.asarray(cols, np.int32), np.asarray(sizes, np.int32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> NoisyOr:
     """Fit by adaptive gradient steps with soft thresholding (L1) on the
-    noisy-or likelihood; both labels count alike. With one label missing the
-    weights stay zero."""
+    noisy-or likelihood of ``bag`` of each document; both labels count alike.
+    With one label missing the weights stay zero.
+
+    Memory is twelve bytes for each feature of a sentence; what is larger is
+    worked on in parts of ``PART`` features.
+    """
     y = np.asarray(labels, bool)
-    weights = np.zeros(1 << BITS)
+    weights = np.zeros(1 << BITS, np.float32)
     if not y.any() or y.all():
-        return NoisyOr(weights.astype(np.float32), BIAS)
-    cols, sizes, doc_of, cache = [], [], [], {}
-    for d, text in enumerate(texts):
-        low = (text or "").lower()
-        for a, b in sentences(low):
-            n = 0
-            for w in set(_WORD.findall(low, a, b)):
-                if w not in cache:
-                    cache[w] = features(w)
-                cols.extend(cache[w])
-                n += len(cache[w])
-            sizes.append(n)
-            doc_of.append(d)
-    full, sizes, doc_of = np.asarray(cols, np.int64), np.asarray(sizes), np.asarray(doc_of, np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
+        return NoisyOr(weights, BIAS)
+    seen = np.zeros(1 << BITS, np.int32)
+    for cols, _ in bags:
+        seen[np.unique(cols)] += 1
     # a feature of one document alone says nothing about others
-    pairs = np.unique(full * len(texts) + doc_of[row])
-    keep = np.bincount(pairs // len(texts), minlength=1 << BITS)[full] > 1
-    used, idx = np.unique(full[keep], return_inverse=True)
-    row = row[keep]
+    used = np.flatnonzero(seen > 1)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    sizes = np.concatenate([s for _, s in bags])
+    doc_of = np.repeat(np.arange(len(bags), dtype=np.int32), [len(s) for _, s in bags])
+    idx = np.concatenate([place[c] for c, _ in bags])
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[idx >= 0]
+    idx = idx[idx >= 0]
+    parts = [slice(k, k + PART) for k in range(0, len(idx), PART)]
     share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     v, speed = np.zeros(len(used)), np.full(len(used), 1e-8)
     for _ in range(EPOCHS):
-        z = np.bincount(row, v[idx], len(sizes)) + BIAS
+        z = np.full(len(sizes), BIAS)
+        for k in parts:
+            z += np.bincount(row[k], v[idx[k]], len(sizes))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts))
+        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags))
         q = np.clip(-np.expm1(none), 1e-9, 1 - 1e-12)
         # d log-likelihood / dz: label 1 gives p (1 - q) / q to each sentence, label 0 takes p
-        g = np.where(y, (1 - q) / q, -1.0) * share
-        grad = np.bincount(idx, (p * g[doc_of])[row], len(used))
+        g = p * (np.where(y, (1 - q) / q, -1.0) * share)[doc_of]
+        grad = np.zeros(len(used))
+        for k in parts:
+            grad += np.bincount(idx[k], g[row[k]], len(used))
         speed += grad * grad
         eta = RATE / np.sqrt(speed)
         v = v + eta * grad
         v = np.sign(v) * np.maximum(np.abs(v) - eta * L1, 0)
     weights[used] = v
-    return NoisyOr(weights.astype(np.float32), BIAS)
+    return NoisyOr(weights, BIAS)
 
 
 def learnable(doc_id: Column) -> Column:
@@ -133,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_docs:
 
     Labels of a repeated id count as their maximum; null ids and labels are
     left out. Only ids of the sample, whose number is bounded, are broadcast.
+    Features are made where the texts are; the driver gets 32-bit numbers.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     known = known.where(learnable(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -148,10 +165,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_docs:
         return texts.join(F.broadcast(ids), "id").select("text", "y")
 
     size = sample(1.0).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = sample(min(1.0, max_bytes / max(size, 1))).collect()
+    bounded_batches(docs.sparkSession)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, list[int]] = {}
+        for batch in batches:
+            both = [bag(text, cache) for text in batch.column(0).to_pylist()]
+            key = [zlib.crc32(c.tobytes()) for c, _ in both]
+            packed = [pa.array([x[k].tobytes() for x in both], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(key, pa.int64()), *packed], ["y", "key", "cols", "sizes"])
+
+    made = sample(min(1.0, max_bytes / max(size, 1))).mapInArrow(bags, "y int, key long, cols binary, sizes binary")
     # in one order, whatever the partitions
-    rows = sorted(rows, key=lambda r: (r["y"], r["text"] or ""))
-    return train([r["text"] for r in rows], [r["y"] for r in rows])
+    rows = sorted(made.collect(), key=lambda r: (r["y"], r["key"], r["cols"]))
+    return train([(np.frombuffer(r["cols"], np.int32), np.frombuffer(r["sizes"], np.int32)) for r in rows], [r["y"] for r in rows])
 
 
 def score_documents(docs: DataFrame, model: NoisyOr, keep: bool = False) -> DataFrame:
@@ -159,8 +186,7 @@ def score_documents(docs: DataFrame, model: NoisyOr, keep: bool = False) -> Data
 
     Returns the document's columns (``keep``) or its ``doc_id``, with
     ``score``, ``n_sentences`` and ``offending``: the sentences whose own score
-    reaches 0.5, as (start, end, score) in code points, worst first. A text
-    whose length changes in lower case has -1 for its offsets. A null or empty
+    reaches 0.5, as (start, end, score) in code points, worst first. A null or empty
     text has no sentence and the score 0. Columns of these names are replaced.
     """
     bounded_batches(docs.sparkSession)
