@@ -4,6 +4,7 @@ bounds and a distributed connected-components routine."""
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -26,14 +27,16 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where neither the session nor its context names one (local tests) a
-    temporary folder is made and set.
+    Only where neither the session nor its context names one and Spark runs in
+    one local process (tests), a temporary folder stands in for it; on a
+    cluster a machine's own folder would lose tables, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 

@@ -13,6 +13,8 @@ every character counts; a shorter line is its own shingle.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,16 +22,21 @@ from pyspark.sql import functions as F
 from civisphere.llm.common import Scratch, connected_components
 
 WIDTH = 5
-#: A pair of similarity 0.8 shares one of 8 bands of 3 with probability 0.995.
-ROWS, BANDS = 3, 8
+#: A pair of similarity 0.8 shares one of 13 bands of 5 with probability 0.994.
+ROWS, BANDS = 5, 13
+#: Bits of a signature that a pair may differ in; 52 are expected at similarity 0.8.
+APART = 130
 #: Similarity as a ratio of whole numbers.
 NUM, DEN = 4, 5
-SHINGLES = f"(?s)(?=(.{{{WIDTH}}}|^.{{1,{WIDTH - 1}}}\\z))."
-#: Rows of a table up to which it is broadcast; beyond, both sides are shuffled.
-SMALL = 400_000
-#: Members that one task compares with a leader; members of a group that are compared
-#: with each other at once, and how that number grows from round to round.
-SLOT, FEW, GROW = 512, 64, 4
+#: Bytes of a row of ids or of a table up to which it is broadcast; beyond, both sides are shuffled.
+SMALL = 32_000_000
+#: Members that one task compares with a leader.
+SLOT = 512
+#: Positions of a line that are laid out at once.
+RUN = 4096
+#: Longs of a parity sketch; columns of signatures and sketches.
+SKETCH = 8
+SIGS, SKETCHES = [f"c{i}" for i in range((ROWS * BANDS + 7) // 8)], [f"s{i}" for i in range(SKETCH)]
 
 
 def _masks(n: int) -> list[int]:
@@ -45,181 +52,224 @@ def normal(line: Column) -> Column:
     return F.lower(trimmed(line))
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
+def _text(docs: DataFrame) -> Column:
+    return docs["text"].cast("string")
+
+
+def _named(docs: DataFrame) -> list[Column]:
+    """``doc, h1, h2``: what names a document, its id and 128 bits of its text."""
+    return [docs["doc_id"].alias("doc"), F.xxhash64(_text(docs)).alias("h1"), F.xxhash64(F.lit(7), _text(docs)).alias("h2")]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc, no, line, k1, k2`` of every line that is not blank; the keys are a 64-bit hash and the length."""
-    each = docs.select(docs["doc_id"].alias("doc"), F.posexplode(F.split(docs["text"].cast("string"), "\n")).alias("no", "raw"))
-    each = each.select("doc", "no", normal(F.col("raw")).alias("line")).where("line <> ''")
-    return each.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.octet_length("line"))
+    """``doc, h1, h2, no, line, k1, k2`` of every line that is not blank; the keys are two 64-bit hashes."""
+    each = docs.select(*_named(docs), F.posexplode(F.split(_text(docs), "\n")).alias("no", "raw"))
+    each = each.where(trimmed(F.col("raw")) != "").select("doc", "h1", "h2", "no", normal(F.col("raw")).alias("line"))
+    return each.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(7), "line"))
+
+
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Broadcast a written table whose rows are counted to fit into ``SMALL`` bytes."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
+
 
+def wide(line: Column) -> Column:
+    """The characters in four bytes each, so that a shingle is a slice at a known place."""
+    return F.encode(line, "UTF-32")
 
-def _small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """Broadcast a written table if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= rows else df
 
+def hashed_shingles(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, h``: a hash of each shingle of ``line``, from every position,
+    which are laid out in runs, however long the line is."""
+    rows = rows.select(*keys, wide(F.col("line")).alias("raw"), F.greatest(F.lit(0), F.length("line") - WIDTH).alias("last"))
+    rows = rows.select(*keys, "raw", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(RUN))).alias("run"))
+    rows = rows.select(*keys, "raw", F.explode(F.sequence("run", F.least(F.col("run") + (RUN - 1), F.col("last")))).alias("at"))
+    return rows.select(*keys, F.xxhash64(F.substring("raw", F.col("at") * 4 + 1, F.lit(4 * WIDTH))).alias("h"))
 
-def band_keys(each: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """``keys``, ``more`` and ``bands`` of sets, from rows of ``keys`` and an element's hash ``h``."""
-    masks = _masks(ROWS * BANDS)
-    out = each.groupBy(*keys).agg(*more, *(F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(m)))).alias(f"m{i}") for i, m in enumerate(masks)))
+
+def band_keys(each: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, bands, sig`` of sets, from rows of ``keys`` and an element's hash ``h``.
+
+    Every permutation is half of a differently seeded 64-bit hash. ``sig`` has
+    eight bits of each minimum, eight minima in a long.
+    """
+    masks = _masks((ROWS * BANDS + 1) // 2)
+    each = each.select(*keys, *(F.xxhash64(F.col("h").bitwiseXOR(F.lit(m))).alias(f"x{i}") for i, m in enumerate(masks)))
+    halves = [half for i in range(len(masks)) for half in (F.shiftrightunsigned(f"x{i}", 32), F.col(f"x{i}").bitwiseAND(F.lit(0xFFFFFFFF)))]
+    out = each.groupBy(*keys).agg(*(F.min(x).alias(f"m{i}") for i, x in enumerate(halves[: ROWS * BANDS])))
     bands = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)]
-    return out.withColumn("bands", F.array(*bands)).drop(*(f"m{i}" for i in range(len(masks))))
+    byte = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)), 8 * (i % 8))
+    longs = [reduce(Column.bitwiseOR, map(byte, range(i, min(i + 8, ROWS * BANDS)))) for i in range(0, ROWS * BANDS, 8)]
+    return out.select(*keys, F.array(*bands).alias("bands"), F.array(*longs).alias("sig"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``k1, k2, n, bands``: distinct lines, how often they come, and their band keys.
+    """``id, k1, k2, n, bands, sig``: distinct lines, how often they come, and what ``band_keys`` makes.
 
-    Minima are taken where the lines are read, so a line that makes up a third
-    of all rows leaves each task once.
+    Equal lines meet first, merged where they are read, so that a line that
+    makes up a third of all rows leaves each task once. Signatures are then
+    made where the lines are. ``id`` stands once this is written.
     """
-    each = _lines(docs).select("k1", "k2", F.posexplode(shingles(F.col("line"))).alias("i", "s"))
-    each = each.select("k1", "k2", "i", F.xxhash64("s").alias("h"))
-    return band_keys(each, ["k1", "k2"], F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
+    lines = _lines(docs).groupBy("k1", "k2").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
+    out = band_keys(hashed_shingles(lines, "k1", "k2", "n"), ["k1", "k2", "n"])
+    return out.withColumn("id", F.monotonically_increasing_id())
 
 
-def _leaders(left: DataFrame) -> DataFrame:
-    """``a, k1``: members and the leader of their group, each pair once.
+def candidates(made: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, n, g, m``: what of ``made(id, n, bands)`` shares a band ``g`` with ``m`` rows in all."""
+    banded = made.select("id", "n", F.explode("bands").alias("g"))
+    shared = scratch.save(banded.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "bands")
+    scratch.release()
+    return scratch.save(banded.join(_small(shared, 32), "g"), "candidates")
 
-    The leader of a group is the member whose groups are largest in total. In
-    a family of edited copies that is the text they were edited from, or one
-    close to it: it shares more bands with the others than they do among
-    themselves.
+
+def _leaders(members: DataFrame) -> DataFrame:
+    """``a, id``: members and the leader of their group, each pair once.
+
+    The leader of a group is the member with most exact copies, then the one
+    whose groups are largest in total. In a family of edited copies that is
+    the text they were edited from, or one close to it.
     """
-    sized = left.join(left.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
-    weight = sized.groupBy("k1").agg(F.sum("n").alias("w"))
-    heads = left.join(weight, "k1").groupBy("g").agg(F.max(F.struct("w", "k1"))["k1"].alias("a"))
-    return left.join(heads, "g").where("k1 <> a").select("a", "k1").distinct()
+    weight = members.groupBy("id").agg(F.sum("m").alias("w"))
+    heads = members.join(weight, "id").groupBy("g").agg(F.max(F.struct("n", "w", "id"))["id"].alias("a"))
+    return members.join(heads, "g").where("id <> a").select("a", "id").distinct()
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, k1, n, shared, linked, added``: members against their leaders.
+def _facts(sets: DataFrame) -> DataFrame:
+    """``id, size`` and a sketch of sets. Every element flips one of ``64 *
+    SKETCH`` bits of it, so two sketches differ in no more bits than their sets
+    do in elements."""
+    each = sets.select("id", F.explode("set").alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(SKETCH - 1)), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    flips = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(SKETCHES)]
+    return each.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("size"), *flips)
 
-    ``n`` is the size of the member's set and ``shared`` what it has in common
-    with the leader's. ``added`` holds the smallest elements the leader lacks:
-    as many as another member must share one of, if the two are to be similar
-    with at least one such element in common. Leaders are dealt in slots of
-    ``SLOT`` members, so that a large group takes many tasks.
-    """
-    heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).join(sets.withColumnsRenamed({"k1": "a", "set": "sa"}), "a")
-    heads = heads.select("a", "sa", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / SLOT).cast("int"))).alias("slot"))
-    counted = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a")
-    dealt = counted.select("a", "k1", F.pmod(F.xxhash64("k1"), F.floor((F.col("m") - 1) / SLOT) + 1).cast("int").alias("slot"))
-    both = dealt.join(sets, "k1").join(heads, ["a", "slot"])
-    both = both.withColumn("n", F.size("set")).withColumn("na", F.size("sa")).withColumn("rest", F.array_except("set", "sa"))
-    both = both.withColumn("shared", F.col("n") - F.size("rest"))
-    # a similar set shares at least NUM / DEN of n elements, of which the leader's own are ``shared`` at most
-    least = F.greatest(F.lit(1), F.ceil(NUM * F.col("n") / DEN).cast("int") - F.col("shared"))
-    prefix = F.slice(F.array_sort("rest"), F.lit(1), F.greatest(F.lit(0), F.size("rest") - least + 1))
-    linked = (NUM + DEN) * F.col("shared") >= NUM * (F.col("n") + F.col("na"))
-    return both.select("a", "k1", "n", "shared", linked.alias("linked"), prefix.alias("added"))
-
-
-def _merged(comp: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+
+def _differ(names: list[str]) -> Column:
+    return reduce(Column.__add__, (F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in names))
+
+
+def _agree() -> Column:
+    """Whether signatures differ in ``APART`` bits at most; those of a pair of
+    similarity 0.8 do not with probability below 1e-6."""
+    return _differ(SIGS) <= APART
+
+
+def _fit() -> Column:
+    """Whether sizes and sketches, which bound the difference of two sets from
+    below, leave it at (DEN - NUM) / (DEN + NUM) of both sizes. Null if not known."""
+    most = (DEN - NUM) * (F.col("size") + F.col("size_"))
+    return ((NUM + DEN) * F.abs(F.col("size") - F.col("size_")) <= most) & ((NUM + DEN) * _differ(SKETCHES) <= most)
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a ``slot`` of their ``a``, about ``SLOT`` rows each, and ``a, slot`` of all slots."""
+    counted = rows.groupBy("a").agg(F.floor((F.count(F.lit(1)) - 1) / SLOT).cast("int").alias("top"))
+    dealt = rows.join(counted, "a").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("top") + 1).cast("int")).drop("top")
+    return dealt, counted.select("a", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("slot"))
+
+
+def _others_of(table: DataFrame, **names: str) -> DataFrame:
+    return table.withColumnsRenamed({c: names.get(c, c + "_") for c in table.columns})
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, id`` of the pairs whose sets are similar. The set of ``a`` goes to
+    every slot of its pairs, so a large group takes many tasks."""
+    dealt, slots = _dealt(pairs)
+    heads = slots.join(_others_of(sets, id="a"), "a")
+    both = dealt.join(sets, "id").join(heads, ["a", "slot"])
+    return both.where((NUM + DEN) * F.size(F.array_intersect("set", "set_")) >= NUM * (F.size("set") + F.size("set_"))).select("a", "id")
+
+
+def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, component`` after further links; what is linked already counts as one node."""
-    if comp is None:
-        return connected_components(links, scratch)
     at = comp.select(F.col("node").alias("src"), "component")
     found = links.join(at, "src", "left").select(F.coalesce("component", "src").alias("src"), F.col("dst").alias("d"))
     found = found.join(at.withColumnRenamed("src", "d"), "d", "left").select("src", F.coalesce("component", "d").alias("dst"))
-    new = connected_components(scratch.save(found.where("src <> dst"), "links"), scratch).select("node", F.col("component").alias("to"))
+    new = connected_components(found, scratch).select("node", F.col("component").alias("to"))
     moved = comp.join(new.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return moved.union(new.join(comp, "node", "left_anti"))
 
 
-def _open(groups: DataFrame, comp: DataFrame) -> DataFrame:
-    """Groups (by ``g``) whose members are of more than one component, with ``comp`` of each member."""
-    rows = groups.join(comp.withColumnRenamed("node", "k1"), "k1", "left").withColumn("comp", F.coalesce("component", "k1")).drop("component")
-    several = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
-    return rows.join(several, "g")
+def _others(rows: DataFrame, links: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, id``: pairs within groups that can still be similar.
 
+    Members that are similar to their leader are one component. Only a member
+    that is not can add a link, so these alone meet the rest of their group,
+    in slots. A pair is emitted only if its signatures agree, and sizes and
+    sketches, where they are known, leave similarity possible.
+    """
+    rows = rows.join(links.withColumn("linked", F.lit(True)), ["a", "id"], "left").withColumn("linked", F.col("linked").isNotNull())
+    rows = rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    several = rows.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("a")
+    rows = scratch.save(rows.join(several, "a"), "open")
+    dealt, slots = _dealt(rows)
+    odd = _others_of(rows.where("not linked").drop("linked"), a="a").join(slots, "a")
+    can = (F.col("comp") != F.col("comp_")) & (F.col("linked") | (F.col("id") < F.col("id_"))) & _agree() & F.coalesce(_fit(), F.lit(True))
+    pairs = dealt.join(odd, ["a", "slot"]).where(can)
+    return scratch.save(pairs.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("id")).distinct(), "pairs")
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "id")).alias("id")).distinct()
+
+
+def components(made: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """Components ``(node, component)`` of the similar pairs within groups ``(id, n, g, m)``.
+
+    ``made`` has ``id, sig`` and ``sets_of`` gives ``id, set`` for ids. Members
+    are compared with the leader of their group, which links a family of edited
+    copies by one pair for each member. Members that are not similar to it meet
+    the others; no similar pair of a group is lost. That second step looks at
+    as many pairs as there are members times those unlike the leader, by some
+    140 bytes each, but emits those that can be similar, which are few.
+    """
+    edges = lambda pairs: pairs.select(F.col("a").alias("src"), F.col("id").alias("dst"))
+    leaders = scratch.save(_leaders(members), "leaders")
+    sigs = made.select("id", *(F.get("sig", i).alias(c) for i, c in enumerate(SIGS)))
+    sigs = scratch.save(sigs.join(_both(leaders), "id"), "sigs")
+    dealt, slots = _dealt(leaders.join(sigs, "id"))
+    near = dealt.join(slots.join(_others_of(sigs, id="a"), "a"), ["a", "slot"]).where(_agree()).select("a", "id")
+    near = scratch.save(near, "near")
+    sets = scratch.save(sets_of(scratch.save(_both(near), "ids")), "sets")
+    scratch.release()
+    links = scratch.save(_similar(near, sets), "links")
+    comp = scratch.save(connected_components(edges(links), scratch), "components")
+    rows = leaders.join(sigs, "id").join(scratch.save(_facts(sets), "facts"), "id", "left")
+    pairs = _others(rows, links, comp, scratch)
+    lacking = scratch.save(_both(pairs).join(sets, "id", "left_anti"), "ids")
+    more = scratch.save(_similar(pairs, sets.union(scratch.save(sets_of(lacking), "sets")) if not lacking.isEmpty() else sets), "links")
+    scratch.release()
+    return scratch.save(_merged(comp, edges(more), scratch), "components")
 
-def components(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components ``(node, component)`` of the similar pairs within groups ``(g, k1)``.
-
-    In every round the members of a group are compared with its leader, which
-    is then done. Two other members x, y of different components can still be
-    similar in two ways only, by their elements shared with the leader
-    (x', y' of them):
-
-    - both have an element the leader lacks: they meet in a group of such an
-      element, at once where it has few members, else in the next round;
-    - min(x', y') alone reaches what similarity asks of the sizes, and one of
-      them, say x, is not linked to the leader: x is listed under every size
-      that y can have, and meets it there. Few listed under a size are
-      compared at once, many form a group of the next round.
 
-    No similar pair of a group is lost, and a family of edited copies emits
-    about a pair for each member, where most of the edits differ. "Few" grows
-    by ``GROW`` each round, so there are few rounds; members that share much
-    and are still not similar to any leader are what costs more than in
-    proportion.
-    """
-    left, comp, few_most = members, None, FEW
-    while True:
-        pairs = scratch.save(_leaders(left), "pairs")
-        seen = scratch.save(_compared(pairs, sets), "compared")
-        links = scratch.save(seen.where("linked").select(F.col("a").alias("src"), F.col("k1").alias("dst")), "links")
-        comp = scratch.save(_merged(comp, links, scratch), "components")
-        scratch.release()
-        rest = scratch.save(_open(seen.withColumn("g", F.col("a")), comp), "rest")
-        if rest.isEmpty():
-            return comp
-        by_element = rest.select("k1", "n", "comp", "a", "shared", (F.col("n") - F.col("shared")).alias("rest"), F.explode("added").alias("s"))
-        by_element = _open(by_element.withColumn("g", F.xxhash64("a", "s")).drop("comp"), comp)
-        crowded = by_element.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > few_most).select("g")
-        few = scratch.save(by_element.join(crowded, "g", "left_anti"), "few")
-        # (NUM + DEN) * min(x', y') >= NUM * (|x| + |y|), and |y| >= NUM / DEN * |x|
-        cap = F.floor((NUM + DEN) * F.col("shared") / NUM).cast("int") - F.col("n")
-        floor = F.ceil(NUM * F.col("n") / DEN).cast("int")
-        low = rest.where(~F.col("linked")).withColumn("cap", cap).where(F.col("cap") >= floor)
-        low = low.select("a", F.col("k1").alias("x"), F.col("comp").alias("cx"), "n", "shared", F.explode(F.sequence(floor, F.col("cap"))).alias("size"))
-        sizes = rest.where(cap >= floor).select("a", "k1", "comp", F.col("n").alias("size"), F.col("shared").alias("sy"))
-        low = scratch.save(low.join(sizes.select("a", "size").distinct(), ["a", "size"], "left_semi"), "sizes")
-        many = low.groupBy("a", "size").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > few_most).select("a", "size")
-        crowd = low.join(many, ["a", "size"]).select("a", "size", F.col("x").alias("k1")).union(sizes.join(many, ["a", "size"]).select("a", "size", "k1"))
-        by_size = crowd.distinct().select(F.xxhash64("a", "size", F.lit("size")).alias("g"), "k1")
-        fits = (F.col("cx") != F.col("comp")) & ((NUM + DEN) * F.least("shared", "sy") >= NUM * (F.col("n") + F.col("size")))
-        direct = low.join(many, ["a", "size"], "left_anti").join(sizes, ["a", "size"]).where(fits)
-        other = few.select("g", *(F.col(c).alias(c + "2") for c in ("k1", "n", "comp", "shared", "rest")))
-        most = F.least("shared", "shared2") + F.least("rest", "rest2")
-        near = (F.col("k1") < F.col("k12")) & (F.col("comp") != F.col("comp2")) & ((NUM + DEN) * most >= NUM * (F.col("n") + F.col("n2")))
-        within = few.join(other, "g").where(near).select(F.col("k1").alias("a"), F.col("k12").alias("k1"))
-        direct = scratch.save(direct.select(F.least("x", "k1").alias("a"), F.greatest("x", "k1").alias("k1")).union(within).distinct(), "pairs")
-        if not direct.isEmpty():
-            more = _compared(direct, sets).where("linked").select(F.col("a").alias("src"), F.col("k1").alias("dst"))
-            comp = scratch.save(_merged(comp, scratch.save(more, "links"), scratch), "components")
-        left = scratch.save(_open(by_element.join(crowded, "g").select("g", "k1").distinct().union(by_size), comp).select("g", "k1").distinct(), "groups")
-        scratch.drop(pairs, seen, links, rest, few, low, direct)
-        scratch.release()
-        few_most *= GROW
-        if left.isEmpty():
-            return comp
+def _line_sets(docs: DataFrame, lines: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, set`` of the hashed shingles of distinct lines."""
+    keys = scratch.save(lines.select("id", "k1", "k2").join(_small(ids, 16), "id"), "keys")
+    texts = _lines(docs).join(_small(keys, 40), ["k1", "k2"]).groupBy("id").agg(F.first(wide(F.col("line"))).alias("raw"))
+    every = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("raw") - 4 * WIDTH + 1), F.lit(4))
+    return texts.select("id", F.array_distinct(F.transform(every, lambda at: F.xxhash64(F.substring("raw", at, F.lit(4 * WIDTH))))).alias("set"))
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc, drop``: numbers of the lines of a document that are not the first
-    of their component by (doc_id, line number)."""
+    """``doc, h1, h2, drop``: numbers of the lines of a document that are not the
+    first of their component by (doc_id, text hash, line number)."""
     lines = scratch.save(signatures(docs), "signatures")
+    members = candidates(lines, scratch)
+    comp = components(lines, members, lambda ids: _line_sets(docs, lines, ids, scratch), scratch)
+    ruled = lines.select("k1", "k2", "n", "id").join(comp, lines["id"] == comp["node"], "left").where("n > 1 or component is not null")
+    ruled = scratch.save(ruled.select("k1", "k2", F.coalesce("component", "id").alias("g")), "ruled")
+    scratch.drop(members)
+    places = _lines(docs).select("doc", "h1", "h2", "no", "k1", "k2").join(_small(ruled, 40), ["k1", "k2"])
+    places = scratch.save(places.select("g", "doc", "h1", "h2", "no"), "places")
+    place = F.struct("doc", "h1", "h2", "no")
+    first = scratch.save(places.groupBy("g").agg(F.min(place).alias("first")), "first")
+    late = places.join(_small(first, 64), "g").where(~place.eqNullSafe(F.col("first")))
+    out = scratch.save(late.groupBy("doc", "h1", "h2").agg(F.array_sort(F.collect_set("no")).alias("drop")), "drop")
+    scratch.drop(lines, places, ruled)
     scratch.release()
-    banded = lines.select("k1", "k2", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("band")
-    shared = scratch.save(shared, "bands")
-    members = scratch.save(banded.join(_small(shared, 4 * SMALL), "band"), "candidates")
-    scratch.release()
-    keys = scratch.save(members.select("k1", "k2").distinct(), "keys")
-    texts = _lines(docs).join(_small(keys), ["k1", "k2"]).select("k1", "k2", "line").dropDuplicates(["k1", "k2"])
-    sets = scratch.save(texts.select("k1", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set")), "sets")
-    comp = components(members.select(F.col("band").alias("g"), "k1"), sets, scratch)
-    ruled = lines.select("k1", "k2", "n").join(comp, lines["k1"] == comp["node"], "left").where("n > 1 or component is not null")
-    ruled = scratch.save(ruled.select("k1", "k2", F.coalesce("component", "k1").alias("g")), "ruled")
-    scratch.drop(lines, shared, members, keys, sets)
-    places = scratch.save(_lines(docs).select("doc", "no", "k1", "k2").join(_small(ruled), ["k1", "k2"]).select("g", "doc", "no"), "places")
-    first = places.groupBy("g").agg(F.min(F.struct("doc", "no")).alias("first"))
-    late = places.join(first, "g").where(~F.struct("doc", "no").eqNullSafe(F.col("first")))
-    return scratch.save(late.groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("drop")), "drop")
+    return out
 
 
 def dedupe_lines(docs: DataFrame, keep: bool = False) -> DataFrame:
@@ -227,23 +277,29 @@ def dedupe_lines(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     Returns ``doc_id, text, n_lines, n_kept`` (with ``keep`` all columns, with
     the new ``text``, ``n_chars`` if there is one, and these counts). The line
-    that stays is the first by (doc_id, line number). Blank lines stay and are
-    not counted. Lines are what newlines part; texts without a dropped line
-    are unchanged, a null text stays null with counts of 0, and a text all of
-    whose lines go becomes empty or keeps its blank lines. Rows that share an
-    id count as one document. Columns of the two counts' names are replaced.
+    that stays is the first by (doc_id, hash of the text, line number), null
+    ids first. Blank lines stay and are not counted. Lines are what newlines
+    part; texts without a dropped line are unchanged, a null text stays null
+    with counts of 0, and a text all of whose lines go becomes empty or keeps
+    its blank lines. Rows equal in id and text are one document and keep the
+    same lines; rows that share an id alone, or have none, are documents of
+    their own. Columns of the two counts' names are replaced, others may have
+    any name. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     drop = dropped_lines(docs, scratch)
     rows = docs.drop("n_lines", "n_kept") if keep else docs.select("doc_id", "text")
-    out = rows.join(_small(drop, SMALL // 4), rows["doc_id"].eqNullSafe(drop["doc"]), "left")
-    text = F.col("text").cast("string")
+    cost = drop.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("drop")).alias("k")).first()
+    drop = F.broadcast(drop) if 64 * cost["n"] + 4 * (cost["k"] or 0) <= SMALL else drop
+    named = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), *_named(rows))
+    out = named.join(drop, named["doc"].eqNullSafe(drop["doc"]) & (named["h1"] == drop["h1"]) & (named["h2"] == drop["h2"]), "left").select("row", "drop")
+    text = F.col("row.text").cast("string")
     lines = F.split(text, "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
     full = F.coalesce(F.size(F.filter(lines, lambda x: trimmed(x) != "")), F.lit(0))
-    out = out.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(full))
-    out = out.withColumn("n_kept", F.col("n_lines") - F.coalesce(F.size("drop"), F.lit(0)))
-    out = out.withColumn("text", F.when(F.col("drop").isNull(), text).otherwise(left))
+    new = F.when(F.col("drop").isNull(), text).otherwise(left)
+    out = out.select("row", new.alias("new"), F.when(text.isNull(), 0).otherwise(full).alias("full"), F.coalesce(F.size("drop"), F.lit(0)).alias("gone"))
+    made = {"text": F.col("new")}
     if keep and "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*rows.columns, "n_lines", "n_kept")
+        made["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return out.select(*((made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in rows.columns), F.col("full").alias("n_lines"), (F.col("full") - F.col("gone")).alias("n_kept"))
