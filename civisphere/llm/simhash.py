@@ -67,6 +67,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
     """m groups of about equally many bits, correlated ones together."""
+    if not len(sample):
+        sample = np.zeros(1, np.uint64)
     bits = (sample[:, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(float)
     spread = bits.std(axis=0)
     z = (bits - bits.mean(axis=0)) / np.where(spread > 0, spread, 1)
@@ -163,14 +165,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` reachable over links between
     fingerprints at distance ``TAU`` or less, the document itself included.
     Null, empty and blank texts have the fingerprint zero and are linked like
-    any others. Repeated rows are returned as often as they come; a component
-    of rows whose ids are all null has a null ``component_id``. Other columns
-    are ignored, whatever their names.
+    any others; so are rows without an id, through which others can be
+    reached. Repeated rows are returned as often as they come; a component of
+    rows whose ids are all null has a null ``component_id``. Ids can be of any
+    type that has an order. Other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     made = scratch.save(fingerprints(docs), "fingerprints")
-    fps = scratch.save(made.groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")), "distinct")
-    parts = connected_components(near_edges(fps.where("id is not null"), scratch), scratch)
-    named = fps.join(parts, fps["id"] == parts["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # a number for each fingerprint, which stands once the table is written
+    fps = made.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    fps = scratch.save(fps.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    parts = connected_components(near_edges(fps.select("fp", "id"), scratch), scratch)
+    named = fps.join(parts, fps["id"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "id").alias("c"))
+    lows = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    named = scratch.save(named.join(lows, "c").select("fp", "component_id"), "named")
     # copies share a fingerprint: the right side has one row for each
     return made.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

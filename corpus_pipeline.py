@@ -28,14 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike by 0.8 in five-word shingles the document of the smallest id stays."""
-    scratch = Scratch(spark, "near")
-    found = scratch.save(word_near.near_duplicates(docs).select(F.col("doc_id").alias("id"), "component_id"), "found")
-    gone = scratch.save(found.where("id <> component_id").select("id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= line_dedup.SMALL else gone
-    left = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
-    repeated = found.where("id = component_id").groupBy("id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    """Of each group of texts alike by 0.8 in five-word shingles one document stays."""
+    return word_near.keep_one(docs)
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
-    ("word near-dedup", drop_near_duplicates),
+    ("simhash near-dedup", drop_near_duplicates),
     ("mixing", sample_mix),
     ("byte bpe", encode),
 ]
