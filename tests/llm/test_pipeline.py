@@ -1,32 +1,64 @@
+import public_tokenizers as P
+import tiktoken
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from civisphere.llm import mixing, simhash, toxicity
+from civisphere.llm import byte_bpe, mixing, toxicity
+
+from .test_operators import brute_lines, union
+
 
-from .test_operators import brute_lines, check_simhash, union
+def near(rows):
+    """Components of texts alike by 0.8 in five-word shingles, by brute force."""
+    own = {r: (r[1] or "").lower().split() for r in rows}
+    sets = {r: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for r, w in own.items()}
+    names = list(sets)
+    links = [(i, j) for i, a in enumerate(names) for j, b in enumerate(names[:i]) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = union(links, range(len(names)))
+    return {r: root[i] for i, r in enumerate(names)}
 
 
 def test_stages(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).ranks.ranks, special_tokens={})
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, d).cache()
+        before = [(r.doc_id, r.text) for r in docs.collect()]
         ids = {r.doc_id for r in out.collect()}
         if k == 0:
             model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
-            assert ids == {r.doc_id for r in docs.collect() if model.score(r.text)[0] < toxicity.THRESHOLD}
+            assert ids == {i for i, t in before if model.score(t)[0] < toxicity.THRESHOLD}
         elif k == 1:
-            want = brute_lines([(r.doc_id, r.text) for r in docs.collect()])
-            assert {r.doc_id: r.text for r in out.collect()} == {i: t for i, t in want.items() if t.strip(" \t\r\n")}
+            assert {(r.doc_id, r.text) for r in out.collect()} == {(r[0], t) for r, t in brute_lines(before).items() if t.strip(" \t\r\n")}
         elif k == 2:
-            found = simhash.near_duplicates(docs)
-            check_simhash(docs, found)
-            assert ids == {r.component_id for r in found.collect()}
+            root = near(before)
+            assert ids == {min(i for (i, t), c in root.items() if c == x) for x in set(root.values())} and out.count() == len(ids)
         elif k == 3:
             assert ids == {r.doc_id for r in mixing.mix(docs).where("sampled").collect()}
+        else:
+            want = sorted(byte_bpe.digest_ids(ref.encode_ordinary(t or "")) for _, t in before)
+            assert sorted(r.ids_sha256 for r in out.collect()) == want
         assert k == 4 or out.columns == docs.columns
         docs = out
     assert docs.count() > 0
 
 
+def test_odd_rows(spark, odd, none):
+    """Nulls, repeated rows, empty tables and clashing columns pass all stages but the first."""
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, none.withColumn("drop", F.lit(1)), "").count() == 0
+        assert stage(spark, odd.withColumns({c: F.lit(1) for c in ("s", "l", "ratio", "drop", "doc", "row", "c")}), "").count() > 0
+
+
+def test_one_of_each_group(spark):
+    """Documents that share an id, or have none, are told apart by their text."""
+    rows = [(7, "one text of its own here"), (7, "another quite different text"), (None, "the third of them all"), (None, "the fourth of them all"), (None, "the fourth of them all"), (8, "one text of its own here"), (9, "x y"), (9, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(map(str, out)) == sorted(map(str, [docs.collect()[k] for k in (0, 1, 2, 3, 6)]))
+
+
 def test_mixing_meets_targets(spark):
     """Rows of the stage have the target shares of tokens, cells below their share too."""
     rows = [(i, "word " * 40, "en" if i % 25 else "es", "big" if i % 20 else "small", 200) for i in range(6000)]
