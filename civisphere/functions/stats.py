@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Z = 1.959963984540054
+Z = 1.959964
 HALF_LIFE_H, TOLERANCE_S = 36.0, 300
 #: Weight of nearness and recency, and nearness by tier. Fixed values.
 GEO_WEIGHT, RECENCY_WEIGHT = 0.60, 0.40
@@ -14,11 +14,12 @@ ELSEWHERE = 0.10
 
 
 def wilson(k: Column, n: Column, upper: bool = False) -> Column:
-    """Bound of the 95 % Wilson interval; null for no trial."""
+    """Bound of the 95 % Wilson interval, within 0 and 1; no trial says nothing, so 0 and 1."""
     p, nn = k / n, n.cast("double")
     mid = p + Z * Z / (2 * nn)
     half = Z * F.sqrt(p * (1 - p) / nn + Z * Z / (4 * nn * nn))
-    return F.when(n > 0, (mid + half if upper else mid - half) / (1 + Z * Z / nn))
+    bound = F.least(F.lit(1.0), (mid + half) / (1 + Z * Z / nn)) if upper else F.greatest(F.lit(0.0), (mid - half) / (1 + Z * Z / nn))
+    return F.when(n > 0, bound).otherwise(F.lit(1.0 if upper else 0.0))
 
 
 def sigmoid(x: Column) -> Column:

@@ -31,19 +31,25 @@ def shingles(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+#: Character references that are read, besides numbers of printable ASCII. Fixed values.
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&rsquo;", "’"), ("&laquo;", "«"), ("&raquo;", "»"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"))
+
+
 def plain_text(html: Column) -> Column:
-    """Text of markup: scripts and styles go, tags become spaces, the common
-    entities are read, white space is collapsed."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Text of markup: scripts, styles and comments go with what they hold; p,
+    br, div and li become spaces and other tags nothing, so a word that a tag
+    parts stays whole; references are read, white space is collapsed."""
+    out = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->", "")
+    out = F.regexp_replace(out, r"(?is)</?(p|br|div|li)(\s[^>]*|/)?>", " ")
+    out = F.regexp_replace(out, r"(?s)</?[A-Za-z][^>]*>|<![^>]*>", "")
+    for name, char in REFERENCES:
         out = F.replace(out, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 
 def capped(text: Column, n: int) -> Column:
-    """At most n characters; what is cut ends with an ellipsis."""
-    return F.when(F.length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n - 1)), F.lit("…"))).otherwise(text)
+    """At most n characters, and an ellipsis where some were cut."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
 
 def numbers(text: Column) -> Column:

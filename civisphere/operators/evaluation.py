@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civisphere.operators import ordering
+from civisphere.operators.tables import written
+
 
 def confusion(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     """Counts with precision, recall and F1; null where there is nothing to divide by."""
@@ -39,8 +42,42 @@ def lineage_roots(rows: DataFrame, key: str, parent: str, rounds: int = 32) -> D
     for _ in range(rounds):
         up = at.select(F.col("id").alias("root"), F.col("root").alias("above"))
         nxt = at.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved"))
-        nxt = nxt.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else nxt
+        nxt = written(nxt)
         if not nxt.where("moved").limit(1).count():
             return nxt.select("id", "root")
         at = nxt.select("id", "root")
     raise ValueError("lineage is longer than 2**32 or has a cycle")
+
+
+def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """``ap``: precision at each score, weighted by the recall it adds; equal scores count at once.
+
+    Counts by score are summed in the order of scores; there are as many rows as different scores.
+    """
+    g = rows.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p")).withColumn("order", -F.col(score))
+    out = ordering.running(g, "order", [F.col("order").asc()], {"m": F.col("n"), "tp": F.col("p")})
+    return out.agg(F.round(F.sum(F.col("p") * (F.col("tp") / F.col("m"))) / F.sum("p"), 6).alias("ap"))
+
+
+def induced_pairs(rows: DataFrame, cluster: str, gold: str) -> DataFrame:
+    """Precision, recall and F1 of the pairs that clusters induce, from cell counts without any pair."""
+    pairs = lambda c: F.sum(c * (c - 1) / 2)
+    n = F.col("n").cast("double")
+    count = lambda *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(pairs(n).alias("k"))
+    out = count(cluster, gold).select(F.col("k").alias("both")).crossJoin(count(cluster).select(F.col("k").alias("own"))).crossJoin(count(gold).select(F.col("k").alias("all")))
+    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6))
+    both, own, whole = F.col("both"), F.col("own"), F.col("all")
+    return out.select(ratio(both, own).alias("precision"), ratio(both, whole).alias("recall"), ratio(2 * both, own + whole).alias("f1"))
+
+
+def blocking_recall(pairs: DataFrame, kept: DataFrame, tier: str) -> DataFrame:
+    """``tier, pairs, kept, recall`` of labelled ``pairs(a_id, b_id, tier)`` that a blocking keeps."""
+    found = pairs.join(kept.select("a_id", "b_id").distinct().withColumn("hit", F.lit(1)), ["a_id", "b_id"], "left")
+    out = found.groupBy(tier).agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("kept"))
+    return out.withColumn("recall", F.round(F.col("kept") / F.col("pairs"), 6))
+
+
+def moved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``items, moved, lost``: members whose owner changed, and those that are gone; both are (id, owner)."""
+    both = before.join(after.withColumnRenamed("owner", "now"), "id", "left")
+    return both.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum((F.col("now") != F.col("owner")).cast("long")), F.lit(0)).alias("moved"), F.sum(F.col("now").isNull().cast("long")).alias("lost"))

@@ -99,34 +99,42 @@ def blocking_pairs(spark, d):
     return C.blocking_pairs(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.unix_timestamp("o_orderdate").alias("t")), o.count())
 
 
-@query(r"""
-WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(t, '(?s)<[^>]*>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b),
-e AS (SELECT page_id, trim(regexp_replace(t, '[ \t\r\n]+', ' ', 'g')) AS t FROM c)
-SELECT page_id, length(t)::INT AS n_chars, md5(t) AS digest, CASE WHEN length(t) > 140 THEN rtrim(substr(t, 1, 139)) || '…' ELSE t END AS excerpt FROM e""")
+def _read_sql(expr: str) -> str:
+    for name, char in T.REFERENCES:
+        expr = f"replace({expr}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return expr
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?is)</?(p|br|div|li)(\s[^>]*|/)?>', ' ', 'g'), '(?s)</?[A-Za-z][^>]*>|<![^>]*>', '', 'g') AS t FROM a),
+e AS (SELECT page_id, trim(regexp_replace({_read_sql("t")}, '[ \t\r\n]+', ' ', 'g')) AS t FROM b)
+SELECT page_id, length(t)::INT AS n_chars, md5(t) AS digest, CASE WHEN length(t) > 140 THEN substr(t, 1, 140) || '…' ELSE t END AS excerpt FROM e""")
 def html_plain_text(spark, d):
     t = T.plain_text(F.col("html"))
     return _t(spark, d, "pages").select("page_id", t.alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"), T.capped(F.col("t"), 140).alias("excerpt"))
 
 
-_WHOLE = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
+_WHOLE = f"'{U._WHOLE}'"
 _CANON = rf"""
-u AS (SELECT page_id, url, lower(regexp_extract(url, {_WHOLE}, 1)) AS s, lower(regexp_extract(url, {_WHOLE}, 2)) AS h, regexp_extract(url, {_WHOLE}, 3) AS p, substr(regexp_extract(url, {_WHOLE}, 4), 2) AS q FROM pages),
-v AS (SELECT page_id, url, s, p, CASE WHEN s = 'https' THEN regexp_replace(h, ':443$', '') ELSE regexp_replace(h, ':80$', '') END AS h,
-  array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|{"|".join(U.TRACKERS)})(=.*)?$')), '&') AS q FROM u),
-c AS (SELECT page_id, url, CASE WHEN regexp_matches(lower(url), '^https?://') THEN s || '://' || h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END ELSE url END AS canonical FROM v)"""
+u AS (SELECT page_id, url, trim(url) AS o FROM pages),
+p AS (SELECT *, lower(regexp_extract(o, {_WHOLE}, 1)) AS s, lower(regexp_extract(o, {_WHOLE}, 2)) AS a, regexp_extract(o, {_WHOLE}, 3) AS p, substr(regexp_extract(o, {_WHOLE}, 4), 2) AS q FROM u),
+n AS (SELECT *, regexp_replace(regexp_replace(a, ':[0-9]*$', ''), '\.$', '') AS n, regexp_extract(o, '^[A-Za-z]+://[^/?#]*:([0-9]+)(?:[/?#]|$)', 1) AS port,
+  array_to_string(list_filter(string_split(q, '&'), lambda x: NOT (starts_with(lower(url_decode(regexp_extract(x, '^([^=]*)', 1))), 'utm_') OR lower(url_decode(regexp_extract(x, '^([^=]*)', 1))) IN ({", ".join(f"'{t}'" for t in U.TRACKERS)}))), '&') AS k FROM p),
+g AS (SELECT *, s IN ('http', 'https') AND n <> '' AND NOT contains(a, '@') AND NOT regexp_matches(url, '[\x00-\x1f\\]') AND port IN ('', '80', '443')
+  AND NOT regexp_matches(n, '{U._LOCAL}') AND NOT (regexp_matches(n, '{U._NUMERIC}') AND NOT regexp_matches(n, '{U._DOTTED}')) AS safe FROM n),
+c AS (SELECT page_id, url, safe, CASE WHEN safe THEN s || '://' || CASE WHEN s = 'https' THEN regexp_replace(a, ':443$', '') ELSE regexp_replace(a, ':80$', '') END || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN k <> '' THEN '?' || k ELSE '' END END AS canonical FROM g)"""
 
 
-@query(f"WITH {_CANON} SELECT page_id, url, canonical, substr(sha256(canonical), 1, 24) AS item_id, CASE WHEN row_number() OVER (PARTITION BY canonical ORDER BY page_id) = 1 THEN 'kept' ELSE 'duplicate_url' END AS reason FROM c")
+@query(f"WITH {_CANON} SELECT page_id, url, canonical, substr(sha256(coalesce(canonical, '|')), 1, 24) AS item_id, CASE WHEN row_number() OVER (PARTITION BY canonical ORDER BY page_id) = 1 THEN 'kept' ELSE 'duplicate_url' END AS reason FROM c")
 def canonical_url_dedupe(spark, d):
     return C.dedupe_urls(_t(spark, d, "pages"))
 
 
-_HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]+$', ''), '^www\.', '')"
+_HOST = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^[^@]*@', ''), ':[0-9]+$', ''), '\.$', ''), '^www\.', '')"
 
 
-@query(f"SELECT {_HOST} AS host, count(*) AS pages, count(DISTINCT url) AS urls, sum(CASE WHEN regexp_matches(url, '^https?://[^/?#\\s]+') THEN 1 ELSE 0 END)::BIGINT AS safe FROM pages GROUP BY 1")
+@query(f"WITH {_CANON} SELECT {_HOST} AS host, count(*) AS pages, count(DISTINCT url) AS urls, sum(safe::INT)::BIGINT AS safe FROM c GROUP BY 1")
 def host_rollup(spark, d):
     p = _t(spark, d, "pages").withColumn("host", U.host(F.col("url")))
     return p.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("url").alias("urls"), F.count(U.safe_url(F.col("url"))).alias("safe"))
@@ -245,12 +253,12 @@ def anomaly_verdict(spark, d):
 
 
 @query(f"""WITH r AS (SELECT o_orderkey, CASE n_regionkey WHEN 0 THEN 1.0 WHEN 1 THEN 0.55 WHEN 2 THEN 0.25 ELSE 0.10 END AS near, epoch('{AS_OF}'::TIMESTAMP) - epoch(o_orderdate) AS age FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
-SELECT o_orderkey, round(0.60::DOUBLE * near + 0.40::DOUBLE * CASE WHEN age < -300 THEN 0 ELSE pow(0.5::DOUBLE, greatest(age, 0) / 129600.0) END, 6) AS score FROM r ORDER BY score DESC, o_orderkey LIMIT 100""")
+SELECT o_orderkey, round(0.60::DOUBLE * near + 0.40::DOUBLE * CASE WHEN age < -300 THEN 0 ELSE pow(0.5::DOUBLE, greatest(age, 0) / 129600.0) END, 6) AS score FROM r""")
 def recency_geo_rank(spark, d):
     rows = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(_t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     tier = F.when(F.col("n_regionkey") == 0, "city").when(F.col("n_regionkey") == 1, "region").when(F.col("n_regionkey") == 2, "country").otherwise("elsewhere")
     age = F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp("o_orderdate")
-    return rows.select("o_orderkey", S.rank_score(tier, age).alias("score")).orderBy(F.desc("score"), "o_orderkey").limit(100)
+    return rows.select("o_orderkey", S.rank_score(tier, age).alias("score"))
 
 
 @query("WITH p AS (SELECT c_custkey, c_acctbal, rank() OVER (ORDER BY c_acctbal) - 1 AS below, count(*) OVER (PARTITION BY c_acctbal) AS eq, count(*) OVER () AS n FROM customer) SELECT c_custkey, c_acctbal, least(3, floor(4 * (2 * below + eq) / (2.0 * n)))::INT AS band FROM p")
@@ -349,7 +357,7 @@ def pr_curve(spark, d):
 
 def _wilson_sql(k: str, n: str, sign: str) -> str:
     z = S.Z
-    return f"round(({k} / {n}::DOUBLE + {z * z}::DOUBLE / (2 * {n}) {sign} {z}::DOUBLE * sqrt({k} / {n}::DOUBLE * (1 - {k} / {n}::DOUBLE) / {n} + {z * z}::DOUBLE / (4.0::DOUBLE * {n} * {n}))) / (1 + {z * z}::DOUBLE / {n}), 6)"
+    return f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({k} / {n}::DOUBLE + {z * z}::DOUBLE / (2 * {n}) {sign} {z}::DOUBLE * sqrt({k} / {n}::DOUBLE * (1 - {k} / {n}::DOUBLE) / {n} + {z * z}::DOUBLE / (4.0::DOUBLE * {n} * {n}))) / (1 + {z * z}::DOUBLE / {n}))), 6)"
 
 
 @query(f"WITH {_SCORED} SELECT lang, sum(label)::BIGINT AS k, count(*) AS n, {_wilson_sql('sum(label)', 'count(*)', '-')} AS lo, {_wilson_sql('sum(label)', 'count(*)', '+')} AS hi FROM s GROUP BY lang")

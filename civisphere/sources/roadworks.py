@@ -17,17 +17,26 @@ FEATURE = T.StructType([
 ])
 
 
-def parse_roadworks(raw: DataFrame, body: str = "body") -> DataFrame:
+def parse_roadworks(raw: DataFrame, body: str = "body", source: str | None = None) -> DataFrame:
     """Features with their first point and a ``reject`` reason: missing_id,
-    geometry, outside, duplicate (of an id the first stays) or null for good ones."""
-    rows = raw.select(F.posexplode(F.from_json(body, T.StructType([T.StructField("features", T.ArrayType(FEATURE))]))["features"]).alias("position", "f"))
-    pair = F.regexp_extract_all(F.col("f.geometry.coordinates"), F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    out = rows.select("position", "f.id", *(f"f.properties.{n}" for n in FEATURE["properties"].dataType.names), F.get(pair, 0).try_cast("double").alias("lon"), F.get(pair, 1).try_cast("double").alias("lat"))
-    w = W.partitionBy("id").orderBy("position")
+    geometry, outside (no point in the box), duplicate (an accepted row of the
+    same source and id stands before) or null for good ones; a body that cannot
+    be read gives one row, rejected as malformed."""
+    name = F.col(source) if source else F.lit("")
+    made = F.from_json(body, T.StructType([T.StructField("features", T.ArrayType(FEATURE))]))["features"]
+    rows = raw.select(name.alias("source"), F.posexplode_outer(made).alias("position", "f"))
+    flat = F.regexp_extract_all(F.col("f.geometry.coordinates"), F.lit(r"-?[0-9]+(?:\.[0-9]+)?[eE]?[-+]?[0-9]*"), F.lit(0))
+    out = rows.select("source", "position", "f.id", *(f"f.properties.{n}" for n in FEATURE["properties"].dataType.names), flat.alias("flat"))
+    points = F.transform(F.sequence(F.lit(0), F.floor(F.size("flat") / 2).cast("int") - 1), lambda i: F.struct(F.get("flat", 2 * i).try_cast("double").alias("lon"), F.get("flat", 2 * i + 1).try_cast("double").alias("lat")))
+    out = out.withColumn("points", F.when(F.size("flat") >= 2, points)).withColumns({"lon": F.get("points", 0)["lon"], "lat": F.get("points", 0)["lat"]})
     west, south, east, north = BOX
-    inside = F.col("lon").between(west, east) & F.col("lat").between(south, north)
-    reason = F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "missing_id").when(F.col("lon").isNull() | F.col("lat").isNull(), "geometry").when(~inside, "outside").when(F.row_number().over(w) > 1, "duplicate")
-    return out.withColumn("reject", reason)
+    inside = F.exists("points", lambda p: p["lon"].between(west, east) & p["lat"].between(south, north))
+    reason = F.when(F.col("position").isNull(), "malformed").when(F.coalesce(F.trim("id"), F.lit("")) == "", "missing_id").when(F.col("lon").isNull() | F.col("lat").isNull(), "geometry").when(~inside, "outside")
+    out = out.withColumn("reject", reason)
+    # rows without an id keep apart, so they do not meet in one task
+    key = F.when(F.col("reject").isNull(), F.col("id")).otherwise(F.concat_ws("|", F.lit(""), "position"))
+    first = F.row_number().over(W.partitionBy("source", key).orderBy("position"))
+    return out.withColumn("reject", F.when(F.col("reject").isNull() & (first > 1), "duplicate").otherwise(F.col("reject"))).drop("flat", "points")
 
 
 def is_active(rows: DataFrame, as_of: str) -> DataFrame:
