@@ -17,6 +17,7 @@ import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import accumulate, chain
 from typing import NamedTuple
 
@@ -27,7 +28,9 @@ from pyspark.sql import DataFrame
 from civisphere.llm.common import bounded_batches
 
 #: Bytes of a match, and characters of a text, that are encoded without halving.
-LEAF_BYTES, LEAF_CHARS = 24, 1024
+LEAF_BYTES, LEAF_CHARS = 24, 4096
+#: Bytes that are merged by looking at all pairs in every step.
+SHORT = 48
 #: Matches kept with their ids, and token pairs with their verdict, per worker.
 KEPT = 400_000
 #: Characters that the longest contraction of the pattern looks at.
@@ -52,6 +55,8 @@ class Ranks:
 
     def merge(self, data: bytes) -> list[int]:
         """Encode by merging the pair of least rank, leftmost first."""
+        if len(data) > SHORT:
+            return self.merge_long(data)
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
@@ -65,6 +70,31 @@ class Ranks:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def merge_long(self, data: bytes) -> list[int]:
+        """As ``merge``, with a heap of pairs and links between parts: n log n steps."""
+        ranks, n = self.ranks, len(data)
+        # of the part that begins at i: where it ends (0: merged into another), and the start of the one before
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            # a pair still stands if two parts in a row cover its bytes
+            if not (j := end[i]) or j >= stop or end[j] != stop:
+                continue
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(data[i : end[stop]])) is not None:
+                    heappush(heap, (r, i, end[stop]))
+            if (k := before[i]) >= 0 and (r := ranks.get(data[k:stop])) is not None:
+                heappush(heap, (r, k, stop))
+        out, at = [], 0
+        while at < n:
+            out.append(ranks[data[at : end[at]]])
+            at = end[at]
+        return out
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether tokens a, b in a row are what their bytes encode to."""
         if (ok := self.fits.get((a, b))) is None:
@@ -107,12 +137,22 @@ class Ranks:
                 return self.merge(data)
         return ids
 
-    def halves(self, data: bytes) -> list[int]:
-        """Encode a match of any length by halves."""
+    def halves(self, data: bytes, known: dict[bytes, list[int]] | None = None) -> list[int]:
+        """Encode a match of any length by halves.
+
+        The first half has a power of two of bytes, so tokens of a run of one
+        character meet at its seam; ``known`` holds equal halves of a match.
+        """
         if len(data) <= LEAF_BYTES:
             return self.leaf(data)
-        mid = len(data) // 2
-        return self.join(self.halves(data[:mid]), self.halves(data[mid:]))
+        known = {} if known is None else known
+        if (ids := known.get(data)) is None:
+            mid = 1 << (len(data) - 1).bit_length() - 1
+            ids = self.join(self.halves(data[:mid], known), self.halves(data[mid:], known))
+            if len(known) > 4096:
+                known.clear()
+            known[data] = ids
+        return ids
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """Encoding of the bytes of a then b.
