@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civisphere.llm.common import bounded_batches
 
-#: Documented bounds: UTF-8 bytes of text that are learnt from, shared between
-#: the languages; words and n-grams of the model.
-SAMPLE_BYTES, MAX_WORDS, MAX_GRAMS = 32_000_000, 60_000, 60_000
+#: Documented bound: UTF-8 bytes of text that are learnt from, shared between the
+#: languages. All words and n-grams of that sample are kept, which bounds the model.
+SAMPLE_BYTES = 32_000_000
 MAX_GRAM = 5
 #: A word unknown to one language but known to another counts as this often.
 UNSEEN = 0.1
@@ -31,7 +32,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def words(text: str | None) -> list[str]:
     """Lower-case runs of letters."""
-    return _WORD.findall((text or "").lower())
+    found = _WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # the pattern also takes numbers such as ½, ² or Ⅷ, which are no letters
+    parted = ("".join(c if c.isalpha() else " " for c in w) for w in found)
+    return [w for part in parted for w in part.split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -40,25 +46,30 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language; bounded by ``MAX_WORDS`` and ``MAX_GRAMS``."""
+    """Log frequencies per language of all words and n-grams of the sample.
 
-    def __init__(self, langs: list[str], known: dict[str, list[int]], parts: dict[str, list[int]], totals: dict[str, list[int]]):
+    ``counts`` maps a kind ("w" for words, else the size of an n-gram) to its
+    names and a table of counts, a row for each name and a column for each language.
+    """
+
+    def __init__(self, langs: list[str], counts: dict[str, tuple[list[str], np.ndarray]]):
         self.langs = langs
         n = len(langs)
-        whole = np.asarray(totals.get("w", [0] * n), float)
-        self.known = {w: k for k, w in enumerate(known)}
-        self.rows = np.log((np.asarray(list(known.values()), float).reshape(len(known), n) + UNSEEN) / (whole + 1))
-        by_size = {k: np.asarray(v, float) for k, v in totals.items() if k != "w"}
-        self.parts = {g: np.log((np.asarray(v, float) + UNSEEN) / (by_size[str(len(g))] + 1)) for g, v in parts.items()}
+        logs = {k: np.log((c + UNSEEN) / (c.sum(axis=0) + 1)).astype(np.float32) for k, (_, c) in counts.items()}
+        sizes = [k for k in counts if k != "w"]
+        self.rows = logs.get("w", np.zeros((0, n), np.float32))
+        self.known = {w: k for k, w in enumerate(counts["w"][0])} if "w" in counts else {}
+        self.parts = {g: i for i, g in enumerate(g for k in sizes for g in counts[k][0])}
+        self.part_rows = np.concatenate([np.zeros((0, n), np.float32), *(logs[k] for k in sizes)])
         self.fresh: dict[str, int] = {}
-        self.table = np.concatenate([self.rows, np.zeros((1, n))])
+        self.table = np.concatenate([self.rows, np.zeros((1, n), np.float32)])
         self.used = len(self.table)
 
     def backoff(self, word: str) -> np.ndarray:
         """Mean over the known n-grams of the largest size that has one; zeros if none has."""
         for n in range(MAX_GRAM, 0, -1):
             if found := [p for g in grams(word, n) if (p := self.parts.get(g)) is not None]:
-                return np.mean(found, axis=0)
+                return self.part_rows[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def row(self, word: str) -> int:
@@ -67,7 +78,7 @@ class Model:
             if self.used == len(self.table):
                 if len(self.table) > len(self.rows) + 200_000:
                     return -1
-                self.table = np.concatenate([self.table, np.zeros((len(self.table) // 2 + 64, len(self.langs)))])
+                self.table = np.concatenate([self.table, np.zeros((len(self.table) // 2 + 64, len(self.langs)), np.float32)])
             k = self.fresh[word] = self.used
             self.table[k] = self.backoff(word)
             self.used += 1
@@ -84,7 +95,7 @@ class Model:
                 extra = extra + self.backoff(w)
                 continue
             rows.append(k)
-        total = self.table[rows].sum(axis=0) + extra
+        total = self.table[rows].sum(axis=0, dtype=float) + extra
         if self.used > len(self.rows) + 150_000:  # between documents only: rows are in use above
             self.fresh.clear()
             self.used = len(self.rows) + 1
@@ -103,7 +114,7 @@ def fit(docs: DataFrame, max_bytes: int = SAMPLE_BYTES) -> Model:
 
     The sample takes about ``max_bytes`` of text: each language its equal part
     or all it has, chosen by a hash of the id. Words and n-grams are counted
-    where the texts are; the driver gets the most frequent ones. Rows without
+    where the texts are; the driver gets the counts. Rows without
     lang or text teach nothing.
     """
     bounded_batches(docs.sparkSession)
@@ -111,7 +122,7 @@ def fit(docs: DataFrame, max_bytes: int = SAMPLE_BYTES) -> Model:
     sizes = {r["lang"]: r["b"] or 0 for r in own.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, {}, {})
+        return Model([], {})
     share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, max_bytes / len(langs) / max(1, sizes[k]))))))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     sample = own.where(part < share[F.col("lang")]).select("lang", "text")
@@ -138,18 +149,14 @@ def fit(docs: DataFrame, max_bytes: int = SAMPLE_BYTES) -> Model:
             yield out(held)
 
     counted = sample.mapInArrow(count, "lang string, kind string, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    wide = counted.groupBy("kind", "gram").agg(*(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"l{i}") for i, k in enumerate(langs)), F.sum("n").alias("n"))
-    wide = wide.withColumn("whole", F.col("kind") == "w").persist()
+    wide = counted.groupBy("kind", "gram").agg(*(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"l{i}") for i, k in enumerate(langs)))
     named = [f"l{i}" for i in range(len(langs))]
-    totals = {r["kind"]: [r[c] for c in named] for r in wide.groupBy("kind").agg(*(F.sum(c).alias(c) for c in named)).collect()}
-
-    def most(whole: bool, k: int) -> dict[str, list[int]]:
-        rows = wide.where(F.col("whole") == whole).where("n > 1").orderBy(F.desc("n"), "kind", "gram").limit(k).select("gram", *named).collect()
-        return {r["gram"]: [r[c] for c in named] for r in rows}
-
-    model = Model(langs, most(True, MAX_WORDS), most(False, MAX_GRAMS), totals)
-    wide.unpersist()
-    return model
+    got = wide.select("kind", "gram", *named).toArrow()
+    counts = {}
+    for kind in sorted(set(got["kind"].unique().to_pylist())):
+        own = got.filter(pc.equal(got["kind"], kind))
+        counts[kind] = own["gram"].to_pylist(), np.stack([own[c].to_numpy() for c in named], axis=1).astype(float)
+    return Model(langs, counts)
 
 
 def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:

@@ -383,3 +383,10 @@ def test_token_counts_inside_matches(spark):
     for r in token_counts.truncate_documents(df, index, JSON, 50).collect():
         whole = run if r.doc_id == 1 else "語" * 3000
         assert r.text and whole.startswith(r.text) and count(r.text) <= 50 < count(whole[: len(r.text) + 1])
+
+
+@pytest.mark.parametrize("text, none", [("½ ² ① Ⅷ", True), ("12 _ 34", True), ("é", False), ("ª 1", False), ("日本", False), ("Ⅷa", False), (" \n", True)])
+def test_language_id_letters(text, none):
+    model = language_id.Model(["en", "fr"], {"w": (["a"], language_id.np.ones((1, 2)))})
+    assert (model.predict(text)[0] == "und") == none == (not any(map(str.isalpha, text)))
+    assert set("".join(language_id.words(text))) == {c for c in text.lower() if c.isalpha()}
