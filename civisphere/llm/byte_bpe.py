@@ -21,6 +21,7 @@ from heapq import heapify, heappop, heappush
 from itertools import accumulate, chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame
 from civisphere.llm.common import bounded_batches
 
 #: Bytes of a match, and characters of a text, that are encoded without halving.
-LEAF_BYTES, LEAF_CHARS = 24, 4096
+LEAF_BYTES, LEAF_CHARS = 24, 16_384
 #: Bytes that are merged by looking at all pairs in every step.
 SHORT = 48
+#: Ids that are decoded at once.
+LEAF_IDS = 65_536
 #: Matches kept with their ids, and token pairs with their verdict, per worker.
 KEPT = 400_000
 #: Characters that the longest contraction of the pattern looks at.
@@ -52,6 +55,12 @@ class Ranks:
                 self.reach[b[:3]] = len(b)
         self.kept: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        #: Bytes of all tokens in a row, and where each of them begins and how long it is.
+        names = sorted(self.bytes_of) if min(self.bytes_of, default=0) >= 0 else []
+        self.row = np.frombuffer(b"".join(self.bytes_of[i] for i in names), np.uint8)
+        self.size, self.begin = np.zeros((2, max(names, default=-1) + 1), np.int64)
+        self.size[names] = [len(self.bytes_of[i]) for i in names]
+        self.begin[names] = np.cumsum(self.size[names]) - self.size[names]
 
     def merge(self, data: bytes) -> list[int]:
         """Encode by merging the pair of least rank, leftmost first."""
@@ -197,14 +206,19 @@ class Encoder:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
 
-    def leaf(self, text: str) -> Encoded:
+    def matches(self, text: str) -> tuple[list[str], list[tuple[int, ...]]]:
+        """Matches of a text in one piece and their ids."""
         parts = self.pattern.findall(text)
-        starts = list(accumulate(map(len, parts), initial=0))
-        starts.pop()
         ids = list(map(self.ranks.kept.get, parts))
         if None in ids:
             match = self.ranks.match
             ids = [match(p) if v is None else v for p, v in zip(parts, ids, strict=True)]
+        return parts, ids
+
+    def leaf(self, text: str) -> Encoded:
+        parts, ids = self.matches(text)
+        starts = list(accumulate(map(len, parts), initial=0))
+        starts.pop()
         return Encoded(text, starts, ids)
 
     def settled(self, e: Encoded) -> int:
@@ -249,12 +263,18 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a text; null and empty texts have none."""
-        return list(chain.from_iterable(self.tree(text or "").ids))
-
-    def decode(self, ids: list[int]) -> bytes:
-        """Bytes of the ids, joined up a tree."""
-        if len(ids) <= 4096:
-            return b"".join(map(self.ranks.bytes_of.__getitem__, ids))
+        text = text or ""
+        # a text of one leaf has no seam
+        ids = self.matches(text)[1] if len(text) <= LEAF_CHARS else self.tree(text).ids
+        return list(chain.from_iterable(ids))
+
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
+        """Bytes of the ids, joined up a tree; a leaf is gathered at once."""
+        if len(ids) <= LEAF_IDS:
+            ids, r = np.asarray(ids, np.int64), self.ranks
+            n = r.size[ids]
+            ends = np.cumsum(n)
+            return r.row[np.repeat(r.begin[ids] - ends + n, n) + np.arange(n.sum())].tobytes()
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
@@ -283,8 +303,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, pattern)
         for batch in batches:
-            ids = [own.encode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [np.array(own.encode(x), np.int32) for x in batch.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
 
     src = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -302,7 +324,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, pattern)
         for batch in batches:
-            out = [own.decode(x or []) for x in batch.column(at).to_pylist()]
+            out = [own.decode(x.values.to_numpy() if x.is_valid else []) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     return df.mapInArrow(run, schema)
