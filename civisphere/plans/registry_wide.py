@@ -11,6 +11,7 @@ from civisphere.operators import editions as E
 from civisphere.operators import evaluation as V
 from civisphere.operators import extract as X
 from civisphere.operators import grouping as G
+from civisphere.operators import matching as M
 from civisphere.plans.registry import _CANON, _FOLD, _HOST, _t, _tok, _wilson_sql, query
 
 SURFACES = ["the", "of the", "in the", "und", "der", "les", "de la", "los", "el"]
@@ -355,3 +356,80 @@ def dossier_continuity(spark, d):
     e = _t(spark, d, "events").select(F.col("user_id").alias("item"), F.to_date("ts").alias("day"), (F.col("event_id") % 2).alias("half"))
     side = lambda k: e.where(F.col("half") == k).select(F.dayofyear("day").alias("group"), "item").distinct()
     return G.continue_ids(side(0), side(1))
+
+
+EVENT_TERMS = ["of the", "in the", "de la"]
+PAIR_WEIGHTS = {"bias": -2.0, "time": 1.0, "far": -1.0, "numbers": 1.5, "dates": 0.5, "names": 2.0, "place": 0.7, "conflict": -0.8, "event_conflict": -0.5, "terms": 1.0, "event": 0.4, "tokens": 4.0, "title": 1.0, "chars": 3.0, "cross": -0.3, "cross_tokens": 1.0, "cross_chars": 1.0}
+BARS = {"certain": 0.8, "probable": 0.6, "possible": 0.3}
+
+
+def match_keys(docs):
+    """``id, kind, key, n``: the keys by which documents are matched."""
+    title = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
+    low, found = T.fold(F.col("text")), X.terms(F.col("text"), SURFACES)
+    events = F.array(*map(F.lit, EVENT_TERMS))
+    dates = F.transform(F.regexp_extract_all("text", F.lit("([0-9]{4}-[0-9]{2}-[0-9]{2})"), F.lit(1)), lambda x: F.concat(F.lit("d:"), x))
+    kinds = {
+        "numbers": T.numbers(F.col("text")), "dates": F.concat(dates, F.regexp_extract_all(low, F.lit("(monday|lundi|montag|lunes)"), F.lit(1))), "names": X.names(F.col("text")),
+        "place": X.places(F.col("text"), PLACE_MASKS, PLACE_RULES), "head_place": X.places(F.col("title"), PLACE_MASKS, PLACE_RULES), "terms": found, "event": F.array_intersect(found, events),
+        "title_event": F.array_intersect(X.terms(F.col("title"), SURFACES), events), "tokens": T.tokens(F.col("text")), "title": T.tokens(F.col("title")),
+        "chars": F.regexp_extract_all(F.array_join(T.tokens(F.col("text")), " "), F.lit("(?=(.{4}))."), F.lit(1)),
+    }
+    rows = docs.select(F.col("doc_id").alias("id"), "text", title.alias("title"))
+    parts = [rows.select("id", F.lit(k).alias("kind"), F.explode(c).alias("key")) for k, c in kinds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.groupBy("id", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _matched(spark, d):
+    docs = _t(spark, d, "documents")
+    pairs = docs.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(docs.select(F.col("doc_id").alias("b")), "b").select("a", "b")
+    items = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") % 7 * 36000).alias("at"), "lang")
+    return M.features(pairs, items, match_keys(docs), docs.count())
+
+
+_MASK = lambda low: f"regexp_replace(regexp_replace({low}, '{PLACE_MASKS[0]}', ' ', 'g'), '{PLACE_MASKS[1]}', ' ', 'g')"
+_PL = lambda m: f"list_filter([{_PLACES.replace('regexp_matches(m,', f'regexp_matches({m},')}], lambda x: x IS NOT NULL)"
+_TM = lambda t: f"list_transform(regexp_extract_all(' ' || array_to_string({_tok(t)}, '  ') || ' ', '{_TERM}'), lambda x: replace(trim(x), '  ', ' '))"
+_EV = f"[{_sql_list(EVENT_TERMS)}]"
+_KINDS = {
+    "numbers": "list_transform(regexp_extract_all(text, '[0-9]{1,3}(?:[ ,][0-9]{3})+|[0-9]+'), lambda x: regexp_replace(x, '[ ,]', '', 'g'))",
+    "dates": f"list_concat(list_transform(regexp_extract_all(text, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), lambda x: 'd:' || x), regexp_extract_all({_LOW}, '(monday|lundi|montag|lunes)', 1))",
+    "names": f"regexp_extract_all(text, '{X.NAME}', 1)", "place": _PL(_MASK(_LOW)), "head_place": _PL(_MASK(_FOLD.format("title"))), "terms": _TM("text"),
+    "event": f"list_filter({_TM('text')}, lambda x: list_contains({_EV}, x))", "title_event": f"list_filter({_TM('title')}, lambda x: list_contains({_EV}, x))",
+    "tokens": _tok("text"), "title": _tok("title"), "chars": "list_transform(range(1, length(j) - 2), lambda i: substr(j, i, 4))",
+}
+_ONCE = ("numbers", "names", "event", "title_event")
+_MATCH = f"""d AS MATERIALIZED (SELECT doc_id AS id, text, array_to_string(string_split(text, ' ')[1:12], ' ') AS title, array_to_string({_tok('text')}, ' ') AS j, lang, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 7 * 36000 END AS at FROM documents),
+k0 AS ({' UNION ALL '.join(f"SELECT id, '{k}' AS kind, unnest({'list_distinct(' + e + ')' if k in _ONCE else e}) AS key FROM d" for k, e in _KINDS.items())}),
+k AS MATERIALIZED (SELECT id, kind, key, count(*) AS n FROM k0 GROUP BY ALL),
+w0 AS (SELECT kind, key, ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS w FROM k WHERE kind IN ('numbers', 'names', 'terms', 'tokens', 'chars') GROUP BY ALL),
+w1 AS (SELECT id, k.kind, k.key, coalesce(w, 1.0::DOUBLE) * CASE WHEN k.kind = 'chars' THEN ln(n) + 1 ELSE 1 END AS w FROM k LEFT JOIN w0 ON w0.key = k.key AND w0.kind = CASE WHEN k.kind = 'title' THEN 'tokens' ELSE k.kind END),
+w AS MATERIALIZED (SELECT id, kind, key, w / CASE WHEN kind = 'chars' THEN sqrt(sum(w * w) OVER (PARTITION BY id, kind)) ELSE 1 END AS w FROM w1),
+p AS (SELECT x.id AS a, y.id AS b, x.at AS xa, y.at AS ya, x.lang AS xl, y.lang AS yl FROM d x JOIN d y ON y.id = x.id + 1),
+s AS MATERIALIZED (SELECT a, b, l.kind, sum(CASE WHEN l.kind = 'chars' THEN l.w * r.w ELSE l.w END) AS w, bool_or(starts_with(l.key, 'd:')) AS day FROM p JOIN w l ON l.id = a JOIN w r ON r.id = b AND r.kind = l.kind AND r.key = l.key GROUP BY ALL),
+e AS (SELECT DISTINCT a, b FROM p JOIN w l ON l.id = a JOIN w r ON r.id = b AND r.key = l.key WHERE (l.kind = 'title_event' AND r.kind = 'terms') OR (l.kind = 'terms' AND r.kind = 'title_event')),
+t AS MATERIALIZED (SELECT id, kind, sum(w) AS w FROM w GROUP BY ALL),
+g AS (SELECT a, b, {', '.join(f"max(w) FILTER (kind = '{k}') AS s_{k}" for k in ('numbers', 'dates', 'names', 'place', 'terms', 'event', 'tokens', 'title', 'chars'))}, bool_or(day) FILTER (kind = 'dates') AS day FROM s GROUP BY ALL),
+o AS (SELECT id, {', '.join(f"max(w) FILTER (kind = '{k}') AS t_{k}" for k in ('numbers', 'names', 'terms', 'tokens', 'title', 'head_place', 'title_event'))} FROM t GROUP BY id),
+f AS (SELECT p.a, p.b, abs(xa - ya) / 3600.0::DOUBLE AS h, coalesce(xl <> yl, false) AS x, g.* EXCLUDE (a, b), {', '.join(f"coalesce(m.t_{k}, 0) AS a_{k}, coalesce(q.t_{k}, 0) AS b_{k}" for k in ('numbers', 'names', 'terms', 'tokens', 'title', 'head_place', 'title_event'))}, e.a IS NOT NULL AS ev FROM p LEFT JOIN g ON g.a = p.a AND g.b = p.b LEFT JOIN o m ON m.id = p.a LEFT JOIN o q ON q.id = p.b LEFT JOIN e ON e.a = p.a AND e.b = p.b),
+y AS (SELECT a, b, CASE WHEN h IS NULL THEN 0.5 ELSE exp(-h / 12) END AS time, (coalesce(h > 72, false))::INT::DOUBLE AS far,
+ {', '.join(f"CASE WHEN s_{k} IS NULL THEN 0 ELSE 2 * s_{k} / (a_{k} + b_{k}) END AS {k}" for k in ('numbers', 'names', 'terms'))},
+ CASE WHEN day THEN 1.0 WHEN s_dates IS NOT NULL THEN 0.5 ELSE 0.0 END AS dates, (s_place IS NOT NULL)::INT::DOUBLE AS place, (a_head_place > 0 AND b_head_place > 0 AND s_place IS NULL)::INT::DOUBLE AS conflict,
+ (a_title_event > 0 AND b_title_event > 0 AND NOT ev)::INT::DOUBLE AS event_conflict, (s_event IS NOT NULL)::INT::DOUBLE AS event, CASE WHEN s_tokens IS NULL THEN 0 ELSE s_tokens / (a_tokens + b_tokens - s_tokens) END AS tokens,
+ CASE WHEN s_title IS NULL THEN 0 ELSE s_title / least(a_title, b_title) END AS title, coalesce(s_chars, 0) AS chars, x::INT::DOUBLE AS "cross" FROM f),
+z AS (SELECT *, "cross" * tokens AS cross_tokens, "cross" * chars AS cross_chars FROM y),
+c AS (SELECT *, 1 / (1 + exp(-({' + '.join([str(PAIR_WEIGHTS['bias'])] + [f'"{k}" * {v}' for k, v in PAIR_WEIGHTS.items() if k != 'bias'])}))) AS score FROM z)"""
+_R6 = ", ".join(f'round("{k}"::DOUBLE, 6) AS "{k}"' for k in M.FEATURES)
+
+
+@query(f"WITH {_MATCH} SELECT a, b, {_R6} FROM z")
+def pair_features(spark, d):
+    return _matched(spark, d).select("a", "b", *(F.round(k, 6).alias(k) for k in M.FEATURES))
+
+
+@query(f"""WITH {_MATCH} SELECT a, b, round(score, 5) AS score, CASE WHEN score >= 0.8 AND g THEN 'certain' WHEN score >= 0.6 AND g THEN 'probable' WHEN score >= 0.3 THEN 'possible' END AS tier FROM (SELECT *, "cross" = 0 OR names > 0 OR place > 0 OR numbers > 0 AS g FROM c)""")
+def pair_tiers(spark, d):
+    return M.scored(_matched(spark, d), PAIR_WEIGHTS, BARS).select("a", "b", F.round("score", 5).alias("score"), "tier")
