@@ -135,3 +135,31 @@ def near_in_time(a: DataFrame, b: DataFrame, key: str, at: str, seconds: int) ->
     right = b.select(F.col("id").alias("b_id"), key, F.unix_timestamp(at).alias("tb"), span.alias("span"))
     both = left.join(right, [key, "span"]).withColumn("apart", F.abs(F.col("ta") - F.col("tb")))
     return both.where(F.col("apart") <= seconds).select("a_id", "b_id", "apart")
+
+
+def severity_order(rows: DataFrame, group: str, kind: str, ranks: dict[str, int], newest: str, key: str, most: int) -> DataFrame:
+    """Rows with ``place`` by severity, then the newest, then the key; unknown kinds last, ``most`` of a group."""
+    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv))[F.col(kind)], F.lit(max(ranks.values()) + 1))
+    w = W.partitionBy(group).orderBy(rank, F.desc(newest), key)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def fresh_groups(rows: DataFrame, clock: DataFrame, key: str, at: str, item: str, days: int) -> DataFrame:
+    """Rows of the last ``days`` before the one-row ``clock(now)``, with ``fresh`` (today, week, older) and their ``place`` in it."""
+    age = F.unix_micros("now") - F.unix_micros(F.col(at).cast("timestamp"))
+    rows = rows.crossJoin(F.broadcast(clock.select(F.col("now").cast("timestamp").alias("now")))).where(age <= days * 86_400_000_000)
+    fresh = F.when(age <= 86_400_000_000, "today").when(age <= 7 * 86_400_000_000, "week").otherwise("older")
+    rows = rows.withColumn("fresh", fresh).drop("now")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(key, "fresh").orderBy(F.desc(at), item)))
+
+
+def blocks(rows: DataFrame, group: str, areas: Column, most: int) -> DataFrame:
+    """``group, area, n, place``: areas of a group by how many rows they have, then by name."""
+    n = rows.select(group, F.explode(areas).alias("area")).groupBy(group, "area").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(F.desc("n"), "area"))).where(F.col("place") <= most)
+
+
+def reduced(rows: DataFrame, key: str, name: str, stays: Column) -> DataFrame:
+    """``key, stated_by, reduced``: names that stay, sorted, and how many are only counted."""
+    out = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.when(stays, F.col(name)))).alias("kept"), F.sum((~stays).cast("int")).cast("int").alias("reduced"))
+    return out.select(key, F.array_join("kept", ",").alias("stated_by"), "reduced")

@@ -81,3 +81,10 @@ def moved(before: DataFrame, after: DataFrame) -> DataFrame:
     """``items, moved, lost``: members whose owner changed, and those that are gone; both are (id, owner)."""
     both = before.join(after.withColumnRenamed("owner", "now"), "id", "left")
     return both.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum((F.col("now") != F.col("owner")).cast("long")), F.lit(0)).alias("moved"), F.sum(F.col("now").isNull().cast("long")).alias("lost"))
+
+
+def matrix(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``a, b, n, share``: cells of the label matrix, as shares of the rows with the first label."""
+    n = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    whole = n.groupBy(a).agg(F.sum("n").alias("whole"))
+    return n.join(whole, a).select(a, b, "n", F.round(F.col("n") / F.col("whole"), 6).alias("share"))

@@ -124,3 +124,24 @@ def literal_span(text: Column, quote: Column) -> Column:
     """Whether a quote is a literal part of a text, white space collapsed in both."""
     plain = lambda x: F.trim(F.regexp_replace(x, "[ \\t\\r\\n]+", " "))
     return F.contains(plain(text), plain(quote))
+
+
+def impacts(topics: Column, table: dict[str, list[str]]) -> Column:
+    """Impacts of topics, each once; ``topics`` must be a column of its own."""
+    entries = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.array_distinct(F.flatten(F.filter(F.transform(topics, lambda t: F.element_at(entries, t)), lambda x: x.isNotNull())))
+
+
+def ownership(rows: DataFrame, flag: str, table: DataFrame) -> DataFrame:
+    """Adds ``owner`` from ``table(flag, owner, ref, day)``, if its reference is an
+    https address and its day a date; else undeclared. Spark broadcasts the table
+    below its own size limit."""
+    sound = F.col("ref").rlike("^https://[^/]+") & F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).isNotNull()
+    own = table.select(F.col("flag").alias("__flag"), F.when(sound, F.col("owner")).alias("__owner"))
+    out = rows.join(own, rows[flag] == F.col("__flag"), "left")
+    return out.withColumn("owner", F.coalesce("__owner", F.lit("undeclared"))).drop("__flag", "__owner")
+
+
+def eastern(at: Column) -> Column:
+    """Eastern local time of a UTC time, with the daylight rule of the time-zone database."""
+    return F.from_utc_timestamp(at, "America/Toronto")

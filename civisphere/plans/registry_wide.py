@@ -433,3 +433,59 @@ def pair_features(spark, d):
 @query(f"""WITH {_MATCH} SELECT a, b, round(score, 5) AS score, CASE WHEN score >= 0.8 AND g THEN 'certain' WHEN score >= 0.6 AND g THEN 'probable' WHEN score >= 0.3 THEN 'possible' END AS tier FROM (SELECT *, "cross" = 0 OR names > 0 OR place > 0 OR numbers > 0 AS g FROM c)""")
 def pair_tiers(spark, d):
     return M.scored(_matched(spark, d), PAIR_WEIGHTS, BARS).select("a", "b", F.round("score", 5).alias("score"), "tier")
+
+
+@query("WITH n AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL) SELECT a, b, n, round(n / (sum(n) OVER (PARTITION BY a))::DOUBLE, 6) AS share FROM n")
+def label_matrix(spark, d):
+    return V.matrix(_t(spark, d, "labels"), "quality", "toxic").withColumnsRenamed({"quality": "a", "toxic": "b"})
+
+
+@query("SELECT l_orderkey, l_linenumber, place FROM (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_shipdate DESC, l_linenumber))::INT AS place FROM lineitem) WHERE place <= 6")
+def severity_order(spark, d):
+    severity = {"R": 0, "A": 1}
+    return E.severity_order(_t(spark, d, "lineitem"), "l_orderkey", "l_returnflag", severity, "l_shipdate", "l_linenumber", 6).select("l_orderkey", "l_linenumber", "place")
+
+
+@query("""WITH e AS (SELECT *, max(ts) OVER () AS now FROM events), g AS (SELECT user_id, event_id, CASE WHEN now - ts <= INTERVAL 24 HOUR THEN 'today' WHEN now - ts <= INTERVAL 7 DAY THEN 'week' ELSE 'older' END AS fresh, ts FROM e WHERE event_type = 'purchase' AND now - ts <= INTERVAL 30 DAY)
+SELECT user_id, event_id, fresh, (row_number() OVER (PARTITION BY user_id, fresh ORDER BY ts DESC, event_id))::INT AS place FROM g""")
+def official_freshness(spark, d):
+    e = _t(spark, d, "events")
+    return E.fresh_groups(e.where("event_type = 'purchase'"), e.agg(F.max("ts").alias("now")), "user_id", "ts", "event_id", 30).select("user_id", "event_id", "fresh", "place")
+
+
+@query("""WITH a AS (SELECT c_nationkey, unnest(CASE WHEN c_acctbal < 0 THEN ['debt', c_mktsegment] WHEN c_acctbal > 8000 THEN ['rich', c_mktsegment] ELSE [c_mktsegment] END) AS area FROM customer), n AS (SELECT c_nationkey, area, count(*) AS n FROM a GROUP BY ALL)
+SELECT c_nationkey, area, n, (row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, area))::INT AS place FROM n QUALIFY place <= 3""")
+def area_blocks(spark, d):
+    own = F.array("c_mktsegment")
+    areas = F.when(F.col("c_acctbal") < 0, F.concat(F.array(F.lit("debt")), own)).when(F.col("c_acctbal") > 8000, F.concat(F.array(F.lit("rich")), own)).otherwise(own)
+    return E.blocks(_t(spark, d, "customer"), "c_nationkey", areas, 3)
+
+
+IMPACTS = {"click": ["reach"], "purchase": ["money", "reach"], "error": ["service"]}
+
+
+@query(f"SELECT user_id, array_to_string(list_sort(list_distinct(flatten(list(CASE event_type {' '.join(f"WHEN '{k}' THEN [{_sql_list(v)}]" for k, v in IMPACTS.items())} ELSE [] END)))), ',') AS impacts FROM events GROUP BY user_id")
+def impact_labels(spark, d):
+    g = _t(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("topics"))
+    return g.select("user_id", F.array_join(F.array_sort(X.impacts(F.col("topics"), IMPACTS)), ",").alias("impacts"))
+
+
+@query(rf"""WITH o AS (SELECT * FROM (VALUES ('A', 'public', 'https://a.example/x', '2025-01-31'), ('N', 'private', 'http://a.example', '2025-01-31'), ('R', 'coop', 'https://b.example', '2025-13-01')) t(flag, owner, ref, day))
+SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(ref, '^https://[^/]+') AND try_strptime(day, '%Y-%m-%d') IS NOT NULL THEN owner ELSE 'undeclared' END AS owner FROM lineitem LEFT JOIN o ON flag = l_returnflag""")
+def ownership_class(spark, d):
+    table = spark.createDataFrame([("A", "public", "https://a.example/x", "2025-01-31"), ("N", "private", "http://a.example", "2025-01-31"), ("R", "coop", "https://b.example", "2025-13-01")], "flag string, owner string, ref string, day string")
+    return X.ownership(_t(spark, d, "lineitem"), "l_returnflag", table).select("l_orderkey", "l_linenumber", "owner")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_orderdate + INTERVAL 30 YEAR AS ts, year(o_orderdate) + 30 AS y FROM orders), b AS (SELECT *, make_date(y, 3, 1) AS m, make_date(y, 11, 1) AS n FROM t),
+s AS (SELECT *, (m + ((7 - dayofweek(m)) % 7 + 7)::INT)::TIMESTAMP + INTERVAL 7 HOUR AS b0, (n + ((7 - dayofweek(n)) % 7)::INT)::TIMESTAMP + INTERVAL 6 HOUR AS b1 FROM b)
+SELECT o_orderkey, ts - CASE WHEN ts >= b0 AND ts < b1 THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS "local" FROM s""")
+def eastern_time(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", X.eastern(F.expr("o_orderdate + INTERVAL 30 YEAR").cast("timestamp")).cast("timestamp_ntz").alias("local"))
+
+
+@query("""WITH r AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT user_id, list_sort(list(event_type) FILTER (n >= 20)) AS kept, list_sort(list(event_type) FILTER (n < 20)) AS gone FROM r GROUP BY 1)
+SELECT user_id, coalesce(array_to_string(kept, ','), '') AS stated_by, coalesce(len(gone), 0)::INT AS reduced FROM g""")
+def reduced_facts(spark, d):
+    n = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return E.reduced(n, "user_id", "event_type", F.col("n") >= 20)
