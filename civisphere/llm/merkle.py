@@ -3,10 +3,9 @@
 Sections are what blank lines part, paragraphs are the lines of a section,
 and the leaves are blocks of up to ``BLOCK`` code points of a paragraph. Every
 inner node is the digest of its children's digests, so equal roots mean equal
-texts, and differing branches lead to the places of an edit. The fingerprint
-is the root with the shortened digests of all leaves. The root is made from
-full leaf digests; only ``compare_edited``, whose SQL is given, makes it from
-the shortened ones, so its roots of short texts have 32 bits of strength.
+texts, and differing branches lead to the places of an edit. The root is
+made from full leaf digests; the fingerprint is the root with the shortened
+digests of all leaves.
 Built with SQL functions only.
 """
 
@@ -24,9 +23,9 @@ BLOCK, DIGITS, STRETCH = 64, 8, 1500
 MOST_STRETCHES = 10_000
 
 
-def tree(text: Column, digits: int = 32) -> Column:
-    """Sections of paragraphs, each the digests of its leaves, cut to ``digits``, joined by commas."""
-    leaves = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda b: F.substring(F.md5(b), 1, digits)), ",")
+def tree(text: Column) -> Column:
+    """Sections of paragraphs, each the digests of its leaves, joined by commas."""
+    leaves = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda b: F.md5(b)), ",")
     return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), leaves))
 
 
@@ -35,10 +34,10 @@ def root(nodes: Column) -> Column:
     return F.md5(F.array_join(F.transform(nodes, lambda s: F.md5(F.array_join(F.transform(s, lambda p: F.md5(p)), ""))), ""))
 
 
-def serialised(nodes: Column, full: bool = True) -> Column:
+def serialised(nodes: Column) -> Column:
     """``root:leaf,leaf;leaf/leaf`` with ``;`` between paragraphs and ``/`` between sections."""
     listed = F.array_join(F.transform(nodes, lambda s: F.array_join(s, ";")), "/")
-    return F.concat(root(nodes), F.lit(":"), F.regexp_replace(listed, f"([0-9a-f]{{{DIGITS}}})[0-9a-f]{{{32 - DIGITS}}}", "$1") if full else listed)
+    return F.concat(root(nodes), F.lit(":"), F.regexp_replace(listed, f"([0-9a-f]{{{DIGITS}}})[0-9a-f]{{{32 - DIGITS}}}", "$1"))
 
 
 def leaves_of(fingerprint: Column) -> Column:
@@ -53,11 +52,10 @@ def likeness(fa: Column, fb: Column, la: Column, lb: Column) -> Column:
     return F.when(F.substring(fa, 1, 32) == F.substring(fb, 1, 32), F.lit(1.0)).otherwise(dice)
 
 
-def fingerprint_documents(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", full: bool = True) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of every whole text; a null text counts as empty.
-    A column of this name is replaced. Without ``full`` the root is made from
-    leaf digests of ``DIGITS`` digits."""
-    return docs.withColumn("__tree", tree(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 32 if full else DIGITS)).withColumn(name, serialised(F.col("__tree"), full)).drop("__tree")
+    A column of this name is replaced."""
+    return docs.withColumn("__tree", tree(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn(name, serialised(F.col("__tree"))).drop("__tree")
 
 
 def locate_edits(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -147,11 +145,11 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     first. A single document is its own next one; an empty table gives no rows.
     """
     base = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    base = with_next(fingerprint_documents(base, full=False), ["text", "fingerprint"])
+    base = with_next(fingerprint_documents(base), ["text", "fingerprint"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
     out = base.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"), edited.alias("text"))
-    out = fingerprint_documents(out, "text", "edited_fingerprint", full=False)
+    out = fingerprint_documents(out, "text", "edited_fingerprint")
     out = out.select("doc_id", "n_chars", F.sha2("text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_fingerprint")
     out = out.withColumns({"__a": leaves_of(F.col("fingerprint")), "__e": leaves_of(F.col("edited_fingerprint")), "__n": leaves_of(F.col("next_fingerprint"))})
     near = lambda f, l: likeness(F.col("fingerprint"), F.col(f), F.col("__a"), F.col(l))
@@ -165,9 +163,9 @@ n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OV
 e AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM n),
 u AS (SELECT text AS t FROM e UNION SELECT edited FROM e),
 k AS (SELECT t, list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
-  lambda p: array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,{BLOCK}}}'), lambda b: substr(md5(b), 1, {DIGITS})), ','))) AS nodes FROM u),
+  lambda p: array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,{BLOCK}}}'), lambda b: md5(b)), ','))) AS nodes FROM u),
 f AS (SELECT t, md5(array_to_string(list_transform(nodes, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(p)), ''))), ''))
-  || ':' || array_to_string(list_transform(nodes, lambda s: array_to_string(s, ';')), '/') AS fp FROM k),
+  || ':' || regexp_replace(array_to_string(list_transform(nodes, lambda s: array_to_string(s, ';')), '/'), '([0-9a-f]{{{DIGITS}}})[0-9a-f]{{{32 - DIGITS}}}', '\\1', 'g') AS fp FROM k),
 l AS (SELECT t, fp, list_distinct(regexp_extract_all(substr(fp, 34), '[0-9a-f]{{{DIGITS}}}')) AS leaves FROM f),
 j AS (SELECT e.doc_id, length(e.text) AS n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint, c.fp AS next_fingerprint,
   a.leaves AS la, b.leaves AS lb, c.leaves AS lc FROM e JOIN l a ON a.t = e.text JOIN l b ON b.t = e.edited JOIN l c ON c.t = e.next_text)
