@@ -22,12 +22,12 @@ def near_duplicate_pairs(docs: DataFrame) -> DataFrame:
     must share one of the first n - ceil(t n) + 1 (prefix filter).
     """
     words = docs.select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w"))
-    hashed = words.select("id", F.array_sort(F.transform(T.shingles(F.col("w"), RUN), lambda x: F.xxhash64(x))).alias("h"))
+    hashed = words.select("id", F.sort_array(F.transform(T.shingles(F.col("w"), RUN), lambda x: F.xxhash64(x))).alias("h"))
     # the size is asked of an aggregate: asked of the array, it would be pushed below the words and part them again for each run
     sets = hashed.groupBy(F.sha2(F.array_join(F.col("h").cast("array<string>"), ","), 256).alias("d")).agg(F.min("id").alias("id"), F.any_value("h").alias("h"))
     sets = sets.select("id", "h", F.size("h").alias("n")).where(F.col("n") >= LEAST)
     each = sets.select("id", "n", F.explode("h").alias("k"))
-    ranked = each.join(each.groupBy("k").agg(F.count(F.lit(1)).alias("df")), "k").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("r"))
+    ranked = each.join(each.groupBy("k").agg(F.count(F.lit(1)).alias("df")), "k").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "k"))).alias("r"))
     prefix = F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1)
     keyed = ranked.select("id", "n", F.explode(prefix).alias("x")).where("x.df > 1").select("id", "n", "x.k")
     a, b = keyed.select(F.col("id").alias("a_id"), F.col("n").alias("na"), "k"), keyed.select(F.col("id").alias("b_id"), F.col("n").alias("nb"), "k")
@@ -44,11 +44,26 @@ def repeated_headlines(docs: DataFrame) -> DataFrame:
     return docs.select(head.alias("headline"), "doc_id").where("headline <> ''").groupBy("headline").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
+def word_runs(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """``key, g``: runs of n words of whole texts, repeats included. A row for
+    each place is made inside generated code, with no array of runs."""
+    own = rows.select(key, T.tokens(F.col("text")).alias("w")).where(F.size("w") >= n)
+    at = own.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
+    return at.select(key, F.concat_ws(" ", *(F.get("w", F.col("i") + k) for k in range(n))).alias("g"))
+
+
+def counted_small(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast a table that is counted to have few short rows; beyond, both sides are shuffled."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def leak_scan(docs: DataFrame, protected: DataFrame, n: int = 4) -> DataFrame:
-    """Documents that hold word n-grams of protected texts, with how many and of how many items."""
-    grams = protected.select("item_id", T.tokens(F.col("text")).alias("w")).select("item_id", F.explode(T.shingles(F.col("w"), n)).alias("g"))
-    own = docs.select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", F.explode(T.shingles(F.col("w"), n)).alias("g"))
-    return own.join(grams, "g").groupBy("doc_id").agg(F.countDistinct("g").alias("grams"), F.countDistinct("item_id").alias("items"))
+    """Documents that hold word n-grams of protected texts, with how many and of
+    how many items. Where the protected grams are few they go to the documents,
+    whose own grams then meet them without a shuffle."""
+    grams = word_runs(protected, "item_id", n).distinct()
+    own = word_runs(docs, "doc_id", n)
+    return own.join(counted_small(grams), "g").groupBy("doc_id").agg(F.countDistinct("g").alias("grams"), F.countDistinct("item_id").alias("items"))
 
 
 def stemmed_tokens(docs: DataFrame, least: int = 3) -> DataFrame:

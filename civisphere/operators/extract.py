@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civisphere.functions import text as T
+from civisphere.operators import content as C
 
 #: Control characters, zero-width ones and those that turn the direction of text.
 UNSEEN = r"[\x{0000}-\x{001F}\x{007F}-\x{009F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2069}\x{FEFF}]"
@@ -115,9 +116,8 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, words: int) -> DataFrame:
     The runs of words of a document meet the phrases by an equi-join, whatever
     their number, and each (document, phrase) comes once.
     """
-    own = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
-    runs = own.select("doc_id", F.explode(T.shingles(F.col("w"), words)).alias("phrase"))
-    return runs.join(phrases.select("phrase").distinct(), "phrase").select("doc_id", "phrase")
+    runs = C.word_runs(docs, "doc_id", words).withColumnRenamed("g", "phrase")
+    return runs.join(C.counted_small(phrases.select("phrase").distinct()), "phrase").select("doc_id", "phrase").distinct()
 
 
 def literal_span(text: Column, quote: Column) -> Column:
