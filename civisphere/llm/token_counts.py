@@ -190,9 +190,12 @@ class Counter:
 
 def steps(counts: list[int]) -> bytes:
     """Differences of neighbours as unsigned variable-length numbers, 0, -1, 1, -2, ... as 0, 1, 2, 3."""
+    moves = [b - a for a, b in pairwise(counts)]
+    if not moves or -64 < min(moves) and max(moves) < 64:
+        return bytes([2 * m if m >= 0 else -2 * m - 1 for m in moves])
     out = bytearray()
-    for a, b in pairwise(counts):
-        v = 2 * (b - a) if b >= a else 2 * (a - b) - 1
+    for m in moves:
+        v = 2 * m if m >= 0 else -2 * m - 1
         while v > 127:
             out.append(v & 127 | 128)
             v >>= 7
