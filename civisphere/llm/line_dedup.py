@@ -162,10 +162,12 @@ def _fit() -> Column:
     return ((NUM + DEN) * F.abs(F.col("size") - F.col("size_")) <= most) & ((NUM + DEN) * _differ(SKETCHES) <= most)
 
 
-def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _dealt(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``rows`` with a ``slot`` of their ``a``, about ``SLOT`` rows each, and ``a, slot`` of all slots."""
+    # a table of its own: Spark can split a join of two tables on a hot key, not one of a count
     counted = rows.groupBy("a").agg(F.floor((F.count(F.lit(1)) - 1) / SLOT).cast("int").alias("top"))
-    dealt = rows.join(counted, "a").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("top") + 1).cast("int")).drop("top")
+    counted = scratch.save(counted, "slots")
+    dealt = rows.join(_small(counted, 24), "a").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("top") + 1).cast("int")).drop("top")
     return dealt, counted.select("a", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("slot"))
 
 
@@ -173,10 +175,10 @@ def _others_of(table: DataFrame, **names: str) -> DataFrame:
     return table.withColumnsRenamed({c: names.get(c, c + "_") for c in table.columns})
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, id`` of the pairs whose sets are similar. The set of ``a`` goes to
     every slot of its pairs, so a large group takes many tasks."""
-    dealt, slots = _dealt(pairs)
+    dealt, slots = _dealt(pairs, scratch)
     heads = slots.join(_others_of(sets, id="a"), "a")
     both = dealt.join(sets, "id").join(heads, ["a", "slot"])
     return both.where((NUM + DEN) * F.size(F.array_intersect("set", "set_")) >= NUM * (F.size("set") + F.size("set_"))).select("a", "id")
@@ -203,8 +205,8 @@ def _others(rows: DataFrame, links: DataFrame, comp: DataFrame, scratch: Scratch
     rows = rows.join(links.withColumn("linked", F.lit(True)), ["a", "id"], "left").withColumn("linked", F.col("linked").isNotNull())
     rows = rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     several = rows.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("a")
-    rows = scratch.save(rows.join(several, "a"), "open")
-    dealt, slots = _dealt(rows)
+    rows = scratch.save(rows.join(_small(scratch.save(several, "several"), 16), "a"), "open")
+    dealt, slots = _dealt(rows, scratch)
     odd = _others_of(rows.where("not linked").drop("linked"), a="a").join(slots, "a")
     can = (F.col("comp") != F.col("comp_")) & (F.col("linked") | (F.col("id") < F.col("id_"))) & _agree() & F.coalesce(_fit(), F.lit(True))
     pairs = dealt.join(odd, ["a", "slot"]).where(can)
@@ -229,17 +231,17 @@ def components(made: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame
     leaders = scratch.save(_leaders(members), "leaders")
     sigs = made.select("id", *(F.get("sig", i).alias(c) for i, c in enumerate(SIGS)))
     sigs = scratch.save(sigs.join(_both(leaders), "id"), "sigs")
-    dealt, slots = _dealt(leaders.join(sigs, "id"))
+    dealt, slots = _dealt(scratch.save(leaders.join(sigs, "id"), "rows"), scratch)
     near = dealt.join(slots.join(_others_of(sigs, id="a"), "a"), ["a", "slot"]).where(_agree()).select("a", "id")
     near = scratch.save(near, "near")
     sets = scratch.save(sets_of(scratch.save(_both(near), "ids")), "sets")
     scratch.release()
-    links = scratch.save(_similar(near, sets), "links")
+    links = scratch.save(_similar(near, sets, scratch), "links")
     comp = scratch.save(connected_components(edges(links), scratch), "components")
     rows = leaders.join(sigs, "id").join(scratch.save(_facts(sets), "facts"), "id", "left")
     pairs = _others(rows, links, comp, scratch)
     lacking = scratch.save(_both(pairs).join(sets, "id", "left_anti"), "ids")
-    more = scratch.save(_similar(pairs, sets.union(scratch.save(sets_of(lacking), "sets")) if not lacking.isEmpty() else sets), "links")
+    more = scratch.save(_similar(pairs, sets.union(scratch.save(sets_of(lacking), "sets")) if not lacking.isEmpty() else sets, scratch), "links")
     scratch.release()
     return scratch.save(_merged(comp, edges(more), scratch), "components")
 
