@@ -3,6 +3,7 @@ run inside one component at a time."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -145,24 +146,73 @@ def average_link(ids: DataFrame, pairs: DataFrame, threshold: float) -> DataFram
     return each.union(links).groupBy("component").applyInPandas(fold, "id long, cluster long")
 
 
+#: Words of a set up to which pairs of its words are keys; larger sets meet by single words.
+WIDE = 100
+#: Pairs of small components that one group of ``applyInPandas`` takes.
+LOT = 50_000
+
+
+def alike(sets: DataFrame, least_shared: int, least_jaccard: float) -> DataFrame:
+    """``a, b`` with a < b: pairs of ``sets(id, words)``, distinct words, that share
+    ``least_shared`` words or more and ``least_jaccard`` of their union.
+
+    Two such sets have k words in common among the first ``size - t + k`` of each,
+    rarest first, where t is the least that a set of this size can share. Pairs of
+    these words are keys (k = 2); single ones are (k = 1) where one word is enough
+    or a set has more than ``WIDE`` words. What meets is compared exactly.
+    """
+    words = sets.select("id", F.explode("words").alias("word"))
+    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    order = words.join(rare, "word").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("w"))
+    order = order.withColumn("n", F.size("w")).withColumn("t", F.greatest(F.lit(least_shared), F.ceil(F.lit(least_jaccard) * F.col("n"))))
+    firsts = lambda k: order.select("id", "n", F.expr(f"slice(w, 1, cast(least(n, n - t + {k}) as int))").alias("w"))
+    single = firsts(1).select("id", F.explode("w").alias("x")).select("id", F.xxhash64("x").alias("key"))
+    if least_shared >= 2:
+        near = firsts(2).where(F.col("n") <= WIDE).select("id", "w", F.posexplode("w").alias("at", "x"))
+        both = near.select("id", "x", F.explode(F.expr("slice(w, at + 2, size(w))")).alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
+        large = order.where(F.col("n") >= least_jaccard * WIDE).select("id")
+        keys = both.union(single.join(large, "id", "left_semi"))
+    else:
+        keys = single
+    keys = written(keys)
+    met = keys.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    met = met.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return met.where((shared >= least_shared) & (shared >= F.lit(least_jaccard) * (F.size("x") + F.size("y") - shared))).select("a", "b")
+
+
 def complete_link(items: DataFrame, least_shared: int = 3, least_jaccard: float = 0.55) -> DataFrame:
     """``id, bucket`` of ``items(id, words)``: in the order of ids each item joins
-    the first bucket all of whose members share enough words with it. Items of
-    different components by shared words cannot meet, so each is a group."""
-    part = components_by_key(items.select("id", F.explode("words").alias("key")))
+    the first bucket all of whose members share enough words with it, else it
+    founds one of its id; an item with too few words is alone.
+
+    Items of one set of words share a bucket, so the first of them stands for
+    all. Only items that are alike can meet: components of alike pairs are
+    whole in a group of ``applyInPandas``, which takes as many steps as pairs.
+    """
+    if least_shared < 1 or least_jaccard > 1:
+        raise ValueError("least_shared is 1 or more, least_jaccard is 1 or less")
+    own = written(items.select("id", F.array_sort(F.array_distinct(F.array_compact(F.coalesce("words", F.array())))).alias("words")))
+    sets = written(own.where(F.size("words") >= least_shared).groupBy("words").agg(F.min("id").alias("id")))
+    pairs = written(alike(sets, least_shared, least_jaccard))
+    hubs = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws("-", "a", "b").alias("key"))
+    before = pairs.groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("before"))
+    each = components_by_key(hubs).join(before, "id", "left").select("component", "id", F.coalesce("before", F.array().cast("array<long>")).alias("before"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[tuple[int, set]]] = []
+        home: dict[int, int] = {}
+        size: Counter[int] = Counter()
         for r in pdf.sort_values("id").itertuples():
-            own = set(r.words)
-            like = lambda w, own=own: len(own & w) >= least_shared and len(own & w) >= least_jaccard * len(own | w)
-            home = next((g for g in groups if all(like(w) for _, w in g)), None)
-            if home is None:
-                groups.append(home := [])
-            home.append((int(r.id), own))
-        return pd.DataFrame([(i, g[0][0]) for g in groups for i, _ in g], columns=["id", "bucket"])
-
-    return items.join(part, "id").groupBy("component").applyInPandas(lambda pdf: fold(pdf), "id long, bucket long")
+            met = Counter(home[int(x)] for x in r.before)
+            bucket = home[int(r.id)] = min((g for g, n in met.items() if n == size[g]), default=int(r.id))
+            size[bucket] += 1
+        return pd.DataFrame(list(home.items()), columns=["first", "bucket"])
+
+    # whole components, some LOT pairs together: a group of its own for each would cost a millisecond
+    lots = pairs.count() // LOT + 1
+    found = each.groupBy(F.pmod(F.xxhash64("component"), F.lit(lots))).applyInPandas(lambda pdf: fold(pdf), "first long, bucket long")
+    firsts = sets.withColumnRenamed("id", "first").join(found, "first", "left").select("words", F.coalesce("bucket", "first").alias("bucket"))
+    return own.join(firsts, "words", "left").select("id", F.coalesce("bucket", "id").alias("bucket"))
 
 
 def continue_ids(before: DataFrame, after: DataFrame, least: int = 2) -> DataFrame:

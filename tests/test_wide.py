@@ -1,6 +1,7 @@
 """Hand examples and brute force of what has no SQL, or whose SQL could share a mistake."""
 
 import random
+import time
 from itertools import combinations
 
 import pytest
@@ -108,6 +109,32 @@ def test_complete_link_and_average_link(spark):
     assert {r.id: r.cluster for r in grouping.average_link(ids, pairs, 0.5).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize("shared, jaccard, wide", [(2, 0.4, 100), (1, 0.3, 100), (3, 0.55, 4)])
+def test_complete_link_by_brute_force(spark, monkeypatch, shared, jaccard, wide):
+    monkeypatch.setattr(grouping, "WIDE", wide)
+    rng = random.Random(5)
+    items = [(i, rng.sample("abcdefghijkl", rng.randrange(8)) * rng.randrange(1, 3)) for i in range(150)]
+    groups = []
+    for i, w in items:
+        like = lambda x, w=set(w): len(w & x) >= shared and len(w & x) >= jaccard * len(w | x)
+        home = next((g for g in groups if all(like(x) for _, x in g)), None)
+        if home is None:
+            groups.append(home := [])
+        home.append((i, set(w)))
+    out = grouping.complete_link(spark.createDataFrame(items, "id long, words array<string>"), shared, jaccard).collect()
+    assert sorted((r.id, r.bucket) for r in out) == sorted((i, g[0][0]) for g in groups for i, _ in g)
+
+
+def test_complete_link_of_many_items_with_one_word(spark):
+    # every item meets every bucket if they are tried one by one: 200 million trials
+    n = 20_000
+    words = F.array(F.lit("all"), F.concat(F.lit("x"), F.col("id")), F.concat(F.lit("y"), F.floor(F.col("id") / 2)))
+    began = time.monotonic()
+    out = grouping.complete_link(spark.range(n).select("id", words.alias("words")), 2, 0.4)
+    assert out.where("bucket <> id - id % 2").count() == 0 and out.count() == n
+    assert time.monotonic() - began < 60
+
+
 def test_continue_ids(spark):
     before = spark.createDataFrame([("x", i) for i in range(5)] + [("y", i) for i in range(5, 9)], "group string, item long")
     after = spark.createDataFrame([("p", i) for i in (0, 1, 2, 5, 6)] + [("q", i) for i in (3, 4, 7, 8)] + [("r", 50)], "group string, item long")
