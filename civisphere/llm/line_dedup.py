@@ -29,7 +29,7 @@ APART = 130
 #: Similarity as a ratio of whole numbers.
 NUM, DEN = 4, 5
 #: Bytes of a row of ids or of a table up to which it is broadcast; beyond, both sides are shuffled.
-SMALL = 32_000_000
+SMALL = 4_000_000
 #: Members that one task compares with a leader.
 SLOT = 512
 #: Positions of a line that are laid out at once.
