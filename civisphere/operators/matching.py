@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civisphere.functions import stats as S
+from civisphere.operators.tables import written
 
 #: Kinds of keys an item has. Kinds of WEIGHTED count by how rare a key is.
 WEIGHTED = ("numbers", "names", "terms", "tokens", "chars")
 FEATURES = ("time", "far", "numbers", "dates", "names", "place", "conflict", "event_conflict", "terms", "event", "tokens", "title", "chars", "cross", "cross_tokens", "cross_chars")
 FAR_HOURS = 72.0
 TIERS = ("certain", "probable", "possible")
+#: What texts of joined tokens are made of, so that a gram of ``GRAM`` characters is a number.
+ALPHABET, GRAM = " abcdefghijklmnopqrstuvwxyz0123456789", 4
+GRAMS = len(ALPHABET) ** GRAM
+#: Parts of the table of gram counts, and rows of one Arrow batch.
+BLOCKS, BATCH = len(ALPHABET), 256
 
 
 def weights(keys: DataFrame, total: int) -> DataFrame:
@@ -33,16 +42,94 @@ def weighted(keys: DataFrame, total: int) -> DataFrame:
     return rows.where("kind <> 'chars'").select("id", "kind", "key", "w").union(grams)
 
 
-def features(pairs: DataFrame, items: DataFrame, keys: DataFrame, total: int) -> DataFrame:
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct grams of the texts of an item, ascending, and how often each comes."""
+    place = np.full(128, -1, np.int32)
+    place[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+    found = [np.zeros(0, np.int32)]
+    for text in texts:
+        x = place[np.frombuffer((text or "").encode(), np.uint8)]
+        if len(x) >= GRAM:
+            if x.min() < 0:
+                raise ValueError("texts have lower-case letters, digits and spaces alone")
+            code = x[: len(x) - GRAM + 1]
+            for k in range(1, GRAM):
+                code = code * len(ALPHABET) + x[k : len(x) - GRAM + 1 + k]
+            found.append(code)
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def gram_counts(texts: DataFrame) -> np.ndarray:
+    """How many items of ``texts(id, texts)`` have each gram. A task adds up its
+    own table; the driver gets a sum of ``GRAMS`` numbers, whatever the corpus."""
+    size = GRAMS // BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(GRAMS, np.int32)
+        for batch in batches:
+            for each in batch.column(0).to_pylist():
+                own[grams(each)[0]] += 1
+        for k, part in enumerate(own.reshape(BLOCKS, size)):
+            if len(at := np.flatnonzero(part).astype(np.int32)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["k", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own.setdefault(k, np.zeros(size, np.int64))[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
+        for k, part in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["k", "n"])
+
+    parts = texts.select("texts").mapInArrow(count, "k int, at binary, n binary").repartition(BLOCKS, "k").mapInArrow(add, "k int, n binary")
+    out = np.zeros((BLOCKS, size), np.int64)
+    for r in parts.collect():
+        out[r["k"]] = np.frombuffer(r["n"], np.int64)
+    return out.reshape(-1)
+
+
+def gram_likeness(pairs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """``a, b, chars``: the product of the unit vectors of weighted grams, as kind
+    chars of ``keys`` gives it, for ``texts(id, text)`` of joined tokens. A pair
+    listed m times has m times the product, as posting joins have it."""
+    spark = pairs.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+    texts = written(texts.groupBy("id").agg(F.collect_list("text").alias("texts")))
+    shared = spark.sparkContext.broadcast(np.log((total + 1.0) / (gram_counts(texts) + 1)) + 1)
+
+    def vector(each: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        at, n = grams(each)
+        w = (np.log(n) + 1) * shared.value[at]
+        return at, w / np.sqrt((w * w).sum() or 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for m, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                (at, w), (to, v) = vector(x), vector(y)
+                _, i, j = np.intersect1d(at, to, assume_unique=True, return_indices=True)
+                out.append(float(w[i] @ v[j]) * m)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "chars"])
+
+    met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
+    met = met.join(texts.select(F.col("id").alias("a"), F.col("texts").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("texts").alias("y")), "b")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return met.select("a", "b", "m", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, chars double")
+
+
+def features(pairs: DataFrame, items: DataFrame, keys: DataFrame, total: int, chars: DataFrame | None = None) -> DataFrame:
     """``a, b`` and ``FEATURES`` of ``pairs(a, b)``.
 
     ``items`` has ``id, at, lang`` (``at`` in seconds, null if unknown) and
     ``keys`` has ``id, kind, key, n`` with the kinds numbers, dates, names,
     place, head_place, terms, event, title_event, tokens, title and chars. The
     pairs meet the keys of one side and then those of the other by equi-joins,
-    so no item is compared with another that is not in a pair.
+    so no item is compared with another that is not in a pair. With ``chars(a,
+    b, chars)`` of ``gram_likeness``, keys have no kind chars.
     """
-    w = weighted(keys, total)
+    w = written(weighted(written(keys), total))
     # an event of a title that the other item names anywhere: matched across kinds
     cross = lambda kind, name: w.where(F.col("kind") == kind).withColumn("kind", F.lit(name))
     left = w.union(cross("title_event", "ev1")).union(cross("terms", "ev2")).withColumnsRenamed({"id": "a", "w": "wa"})
@@ -59,6 +146,8 @@ def features(pairs: DataFrame, items: DataFrame, keys: DataFrame, total: int) ->
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     hours = F.abs(F.col("a_at") - F.col("b_at")) / 3600.0
     langs = F.coalesce((F.col("a_lang") != F.col("b_lang")), F.lit(False))
+    if chars is not None:
+        p = p.drop("chars_w").join(chars.withColumnRenamed("chars", "chars_w"), ["a", "b"], "left")
     tokens, chars = S.jaccard(*sums("tokens")), zero("chars_w")
     both = lambda k: F.col(f"a_{k}").isNotNull() & F.col(f"b_{k}").isNotNull()
     made = {

@@ -364,7 +364,7 @@ BARS = {"certain": 0.8, "probable": 0.6, "possible": 0.3}
 
 
 def match_keys(docs):
-    """``id, kind, key, n``: the keys by which documents are matched."""
+    """``id, kind, key, n``: the keys by which documents are matched, but for grams."""
     title = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
     low, found = T.fold(F.col("text")), X.terms(F.col("text"), SURFACES)
     events = F.array(*map(F.lit, EVENT_TERMS))
@@ -373,13 +373,11 @@ def match_keys(docs):
         "numbers": T.numbers(F.col("text")), "dates": F.concat(dates, F.regexp_extract_all(low, F.lit("(monday|lundi|montag|lunes)"), F.lit(1))), "names": X.names(F.col("text")),
         "place": X.places(F.col("text"), PLACE_MASKS, PLACE_RULES), "head_place": X.places(F.col("title"), PLACE_MASKS, PLACE_RULES), "terms": found, "event": F.array_intersect(found, events),
         "title_event": F.array_intersect(X.terms(F.col("title"), SURFACES), events), "tokens": T.tokens(F.col("text")), "title": T.tokens(F.col("title")),
-        "chars": F.regexp_extract_all(F.array_join(T.tokens(F.col("text")), " "), F.lit("(?=(.{4}))."), F.lit(1)),
     }
     rows = docs.select(F.col("doc_id").alias("id"), "text", title.alias("title"))
-    parts = [rows.select("id", F.lit(k).alias("kind"), F.explode(c).alias("key")) for k, c in kinds.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    named = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("key"))
+    every = F.flatten(F.array(*(F.coalesce(F.transform(c, named(k)), F.array()) for k, c in kinds.items())))
+    out = rows.select("id", F.explode(every).alias("x")).select("id", "x.kind", "x.key")
     return out.groupBy("id", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -387,7 +385,9 @@ def _matched(spark, d):
     docs = _t(spark, d, "documents")
     pairs = docs.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(docs.select(F.col("doc_id").alias("b")), "b").select("a", "b")
     items = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") % 7 * 36000).alias("at"), "lang")
-    return M.features(pairs, items, match_keys(docs), docs.count())
+    total = docs.count()
+    texts = docs.select(F.col("doc_id").alias("id"), F.array_join(T.tokens(F.col("text")), " ").alias("text"))
+    return M.features(pairs, items, match_keys(docs), total, M.gram_likeness(pairs, texts, total))
 
 
 _MASK = lambda low: f"regexp_replace(regexp_replace({low}, '{PLACE_MASKS[0]}', ' ', 'g'), '{PLACE_MASKS[1]}', ' ', 'g')"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civisphere.functions import stats, text, url
-from civisphere.operators import editions, extract, grouping, tables
+from civisphere.operators import editions, extract, grouping, matching, tables
 from civisphere.sources import roadworks
 
 
@@ -161,3 +161,16 @@ def test_publish(spark, tmp_path):
     tables.publish(spark.range(3), str(tmp_path), "t")
     tables.publish(spark.range(5), str(tmp_path), "t")
     assert tables.current(spark, str(tmp_path), "t").count() == 5
+
+
+def test_gram_likeness_equals_posting_joins(spark):
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("ab 1") for _ in range(rng.choice((0, 3, 4, 60, 60, 60, 60, 60))))) for i in range(40)] + [(41, None), (5, "abab again")]
+    texts = spark.createDataFrame(texts, "id long, text string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(41)] + [(7, 8)], "a long, b long")
+    found = texts.select("id", F.explode(F.regexp_extract_all("text", F.lit("(?=(.{4}))."), F.lit(1))).alias("key"))
+    keys = found.groupBy("id", F.lit("chars").alias("kind"), "key").agg(F.count(F.lit(1)).alias("n"))
+    items = texts.select("id", F.lit(None).cast("long").alias("at"), F.lit("en").alias("lang")).distinct()
+    got, want = (sorted((r.a, r.b, round(r.chars, 9)) for r in out.collect()) for out in (
+        matching.features(pairs, items, keys.limit(0), 42, matching.gram_likeness(pairs, texts, 42)), matching.features(pairs, items, keys, 42)))
+    assert got == want and sum(x[2] > 0 for x in got) > 5
