@@ -87,6 +87,17 @@ def hashed_shingles(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.xxhash64(F.substring("raw", F.col("at") * 4 + 1, F.lit(4 * WIDTH))).alias("h"))
 
 
+def shingle_set(line: Column) -> Column:
+    """The hashes of the shingles of a line, each once.
+
+    The wide form is a variable of the outer lambda: a column that is read from
+    a row in the inner one would be copied as a whole for every position.
+    """
+    at = lambda r: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(r) - 4 * WIDTH + 1), F.lit(4))
+    each = lambda r: F.transform(at(r), lambda i: F.xxhash64(F.substring(r, i, F.lit(4 * WIDTH))))
+    return F.array_distinct(F.get(F.transform(F.array(wide(line)), each), F.lit(0)))
+
+
 def band_keys(each: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, bands, sig`` of sets, from rows of ``keys`` and an element's hash ``h``.
 
@@ -120,7 +131,10 @@ def candidates(made: DataFrame, scratch: Scratch) -> DataFrame:
     banded = made.select("id", "n", F.explode("bands").alias("g"))
     shared = scratch.save(banded.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "bands")
     scratch.release()
-    return scratch.save(banded.join(_small(shared, 32), "g"), "candidates")
+    out = scratch.save(banded.join(_small(shared, 32), "g"), "candidates")
+    scratch.drop(shared)
+    scratch.release()
+    return out
 
 
 def _leaders(members: DataFrame) -> DataFrame:
@@ -135,11 +149,11 @@ def _leaders(members: DataFrame) -> DataFrame:
     return members.join(heads, "g").where("id <> a").select("a", "id").distinct()
 
 
-def _facts(sets: DataFrame) -> DataFrame:
+def _facts(sets: DataFrame, unpack: Callable[[Column], Column]) -> DataFrame:
     """``id, size`` and a sketch of sets. Every element flips one of ``64 *
     SKETCH`` bits of it, so two sketches differ in no more bits than their sets
     do in elements."""
-    each = sets.select("id", F.explode("set").alias("h"))
+    each = sets.select("id", F.explode(unpack(F.col("set"))).alias("h"))
     word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(SKETCH - 1)), F.expr("shiftleft(1L, cast(h & 63 as int))")
     flips = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(SKETCHES)]
     return each.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("size"), *flips)
@@ -175,13 +189,16 @@ def _others_of(table: DataFrame, **names: str) -> DataFrame:
     return table.withColumnsRenamed({c: names.get(c, c + "_") for c in table.columns})
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, unpack: Callable[[Column], Column], scratch: Scratch) -> DataFrame:
     """``a, id`` of the pairs whose sets are similar. The set of ``a`` goes to
-    every slot of its pairs, so a large group takes many tasks."""
+    every slot of its pairs, so a large group takes many tasks. Sets travel as
+    they are stored and are unpacked where a pair meets."""
     dealt, slots = _dealt(pairs, scratch)
     heads = slots.join(_others_of(sets, id="a"), "a")
     both = dealt.join(sets, "id").join(heads, ["a", "slot"])
-    return both.where((NUM + DEN) * F.size(F.array_intersect("set", "set_")) >= NUM * (F.size("set") + F.size("set_"))).select("a", "id")
+    can = (NUM + DEN) * F.least("size", "size_") >= NUM * (F.col("size") + F.col("size_"))
+    common = F.size(F.array_intersect(unpack(F.col("set")), unpack(F.col("set_"))))
+    return both.where(can & ((NUM + DEN) * common >= NUM * (F.col("size") + F.col("size_")))).select("a", "id")
 
 
 def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -217,10 +234,12 @@ def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "id")).alias("id")).distinct()
 
 
-def components(made: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def components(made: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, unpack: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """Components ``(node, component)`` of the similar pairs within groups ``(id, n, g, m)``.
 
-    ``made`` has ``id, sig`` and ``sets_of`` gives ``id, set`` for ids. Members
+    ``made`` has ``id, sig`` and ``sets_of`` gives ``id, set`` for ids, where
+    ``unpack`` makes the array of a set. ``made`` and ``members``, as far as they
+    are scratch tables, are deleted as soon as they are read. Members
     are compared with the leader of their group, which links a family of edited
     copies by one pair for each member. Members that are not similar to it meet
     the others; no similar pair of a group is lost. That second step looks at
@@ -231,45 +250,57 @@ def components(made: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame
     leaders = scratch.save(_leaders(members), "leaders")
     sigs = made.select("id", *(F.get("sig", i).alias(c) for i, c in enumerate(SIGS)))
     sigs = scratch.save(sigs.join(_both(leaders), "id"), "sigs")
-    dealt, slots = _dealt(scratch.save(leaders.join(sigs, "id"), "rows"), scratch)
+    scratch.drop(made, members)
+    scratch.release()
+    paired = scratch.save(leaders.join(sigs, "id"), "rows")
+    dealt, slots = _dealt(paired, scratch)
     near = dealt.join(slots.join(_others_of(sigs, id="a"), "a"), ["a", "slot"]).where(_agree()).select("a", "id")
     near = scratch.save(near, "near")
-    sets = scratch.save(sets_of(scratch.save(_both(near), "ids")), "sets")
+    scratch.drop(paired)
+    scratch.release()
+    packed = lambda ids: scratch.save(sets_of(ids).withColumn("size", F.size(unpack(F.col("set")))), "sets")
+    sets = packed(scratch.save(_both(near), "ids"))
+    scratch.release()
+    links = scratch.save(_similar(near, sets, unpack, scratch), "links")
     scratch.release()
-    links = scratch.save(_similar(near, sets, scratch), "links")
     comp = scratch.save(connected_components(edges(links), scratch), "components")
-    rows = leaders.join(sigs, "id").join(scratch.save(_facts(sets), "facts"), "id", "left")
+    rows = leaders.join(sigs, "id").join(scratch.save(_facts(sets, unpack), "facts"), "id", "left")
     pairs = _others(rows, links, comp, scratch)
+    scratch.release()
     lacking = scratch.save(_both(pairs).join(sets, "id", "left_anti"), "ids")
-    more = scratch.save(_similar(pairs, sets.union(scratch.save(sets_of(lacking), "sets")) if not lacking.isEmpty() else sets, scratch), "links")
+    rest = None if lacking.isEmpty() else packed(lacking)
+    more = scratch.save(_similar(pairs, sets.union(rest) if rest else sets, unpack, scratch), "links")
+    scratch.drop(sets, rest)
     scratch.release()
     return scratch.save(_merged(comp, edges(more), scratch), "components")
 
 
-def _line_sets(docs: DataFrame, lines: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id, set`` of the hashed shingles of distinct lines."""
-    keys = scratch.save(lines.select("id", "k1", "k2").join(_small(ids, 16), "id"), "keys")
-    texts = _lines(docs).join(_small(keys, 40), ["k1", "k2"]).groupBy("id").agg(F.first(wide(F.col("line"))).alias("raw"))
-    every = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("raw") - 4 * WIDTH + 1), F.lit(4))
-    return texts.select("id", F.array_distinct(F.transform(every, lambda at: F.xxhash64(F.substring("raw", at, F.lit(4 * WIDTH))))).alias("set"))
+def _line_texts(docs: DataFrame, keyed: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, set`` of distinct lines: the line itself, of which ``shingle_set``
+    makes the set; eight bytes for each shingle would be many times its size."""
+    keys = scratch.save(keyed.select("id", "k1", "k2").join(_small(ids, 16), "id"), "keys")
+    return _lines(docs).join(_small(keys, 40), ["k1", "k2"]).groupBy("id").agg(F.first("line").alias("set"))
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc, h1, h2, drop``: numbers of the lines of a document that are not the
     first of their component by (doc_id, text hash, line number)."""
     lines = scratch.save(signatures(docs), "signatures")
+    scratch.release()
     members = candidates(lines, scratch)
-    comp = components(lines, members, lambda ids: _line_sets(docs, lines, ids, scratch), scratch)
-    ruled = lines.select("k1", "k2", "n", "id").join(comp, lines["id"] == comp["node"], "left").where("n > 1 or component is not null")
+    keyed = scratch.save(lines.select("id", "k1", "k2", "n"), "keyed")
+    comp = components(lines, members, lambda ids: _line_texts(docs, keyed, ids, scratch), scratch, shingle_set)
+    ruled = keyed.join(comp, keyed["id"] == comp["node"], "left").where("n > 1 or component is not null")
     ruled = scratch.save(ruled.select("k1", "k2", F.coalesce("component", "id").alias("g")), "ruled")
-    scratch.drop(members)
+    scratch.drop(keyed)
+    scratch.release()
     places = _lines(docs).select("doc", "h1", "h2", "no", "k1", "k2").join(_small(ruled, 40), ["k1", "k2"])
     places = scratch.save(places.select("g", "doc", "h1", "h2", "no"), "places")
     place = F.struct("doc", "h1", "h2", "no")
     first = scratch.save(places.groupBy("g").agg(F.min(place).alias("first")), "first")
     late = places.join(_small(first, 64), "g").where(~place.eqNullSafe(F.col("first")))
     out = scratch.save(late.groupBy("doc", "h1", "h2").agg(F.array_sort(F.collect_set("no")).alias("drop")), "drop")
-    scratch.drop(lines, places, ruled)
+    scratch.drop(places, ruled, first)
     scratch.release()
     return out
 

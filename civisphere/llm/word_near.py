@@ -58,7 +58,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = line_dedup.components(lines, members, sets_of, scratch)
     to = distinct.join(comp, distinct["id"] == comp["node"], "left").select("k1", "k2", F.coalesce("component", "id").alias("c"))
     out = scratch.save(places.join(line_dedup._small(scratch.save(to, "named"), 40), ["k1", "k2"]).select("doc_id.doc", "doc_id.h1", "doc_id.h2", "c"), "out")
-    scratch.drop(made, lines, members)
+    scratch.drop(made)
     scratch.release()
     return out
 

@@ -3,6 +3,7 @@ import re
 import time
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import public_tokenizers as P
@@ -199,6 +200,26 @@ def test_line_dedup_recall(spark):
     assert sum(not found[keys[2 * k]] & found[keys[2 * k + 1]] for k in range(n)) < 0.01 * n
 
 
+def test_line_dedup_disk(spark, monkeypatch):
+    """Lines to be verified are stored as texts, and what is read no more is gone by then."""
+    word = lambda k, j: hashlib.sha256(f"{k} {j}".encode()).hexdigest()[:9]
+    rows = [(3 * k + i, " ".join(word(k, j) for j in range(300)) + f" {i}") for k in range(40) for i in range(3)]
+    size = lambda path: sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
+    saved, left = [], {}
+
+    def save(self, df, name="t", own=Scratch.save):
+        out = own(self, df, name)
+        saved.append((name, out._scratch_path))
+        if name == "sets":
+            left.update((x, left.get(x, 0) + size(path)) for x, path in saved)
+        return out
+
+    monkeypatch.setattr(Scratch, "save", save)
+    out = line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.text} == {3 * k for k in range(40)}
+    assert 0 < left["sets"] < sum(len(t) for _, t in rows) and left["signatures"] == left["candidates"] == 0
+
+
 # 5
 
 
